@@ -1,7 +1,14 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
 from .histogram_topk import OP10_SQL, op10_histogram_topk
+from .mjpeg_media import op9_mjpeg_media
 from .poisson_mix import OP7_SQL, op7_poisson_mix
+from .pow2_packing import op6_pow2_packing
 
-QUERIES = {"op7_poisson_mix": op7_poisson_mix, "op10_histogram_topk": op10_histogram_topk}
+QUERIES = {
+    "op6_pow2_packing": op6_pow2_packing,
+    "op7_poisson_mix": op7_poisson_mix,
+    "op9_mjpeg_media": op9_mjpeg_media,
+    "op10_histogram_topk": op10_histogram_topk,
+}
 ORACLES = {"op7_poisson_mix": OP7_SQL, "op10_histogram_topk": OP10_SQL}
