@@ -4,10 +4,14 @@ from .histogram_topk import OP10_SQL, op10_histogram_topk
 from .mjpeg_media import op9_mjpeg_media
 from .poisson_mix import OP7_SQL, op7_poisson_mix
 from .pow2_packing import op6_pow2_packing
+from .suffix_dedup import op8_suffix_dedup
+from .superkmer_dedup import op5_superkmer_dedup
 
 QUERIES = {
+    "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_pow2_packing": op6_pow2_packing,
     "op7_poisson_mix": op7_poisson_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mjpeg_media": op9_mjpeg_media,
     "op10_histogram_topk": op10_histogram_topk,
 }
