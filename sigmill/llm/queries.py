@@ -1,6 +1,7 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
 from .histogram_topk import OP10_SQL, op10_histogram_topk
+from .minhash_dedup import op3_minhash_dedup
 from .mjpeg_media import op9_mjpeg_media
 from .poisson_mix import OP7_SQL, op7_poisson_mix
 from .pow2_packing import op6_pow2_packing
@@ -8,6 +9,7 @@ from .suffix_dedup import op8_suffix_dedup
 from .superkmer_dedup import op5_superkmer_dedup
 
 QUERIES = {
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_pow2_packing": op6_pow2_packing,
     "op7_poisson_mix": op7_poisson_mix,
