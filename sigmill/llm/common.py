@@ -49,6 +49,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Let Arrow batches have at most so many rows where the session still has the default: texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(most))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(k, th, text): k is doc_id or NO_ID, th a hash of the text; rows that agree in both are equal rows."""
     text = F.coalesce(F.col("text"), F.lit(""))

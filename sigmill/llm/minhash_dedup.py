@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialize, slices, table, text_buffer
+from .common import materialize, slices, small_batches, table, text_buffer
 from .repeats import STEP, Sums, mixed, word_units
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 4, 32, 5, 80
@@ -115,24 +115,8 @@ def _sets(shingle):
             off, raw = text_buffer(batch.column(1))
             for i, j in slices(off, STEP):
                 h, soff = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
-                flat = h.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([flat[8 * a : 8 * b] for a, b in zip(soff[:-1].tolist(), soff[1:].tolist())], pa.binary())], ["id", "grams"])
-
-    return run
-
-
-def _confirm(threshold):
-    def run(batches):
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(100 * same >= threshold * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+                grams = pa.ListArray.from_arrays(pa.array(soff, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), grams], ["id", "grams"])
 
     return run
 
@@ -140,10 +124,11 @@ def _confirm(threshold):
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; texts: (id, text)."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(texts.join(wanted, "id").select("id", "text").mapInArrow(_sets(shingle), "id long, grams binary"))
+    sets = materialize(texts.join(wanted, "id").select("id", "text").mapInArrow(_sets(shingle), "id long, grams array<long>"))
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_confirm(threshold), "a long, b long").distinct())
+    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("same"))
+    return materialize(both.where(f"100L * same >= {threshold}L * (total - same)").select("a", "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,6 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>"))
     classes = materialize(scanned.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node")))

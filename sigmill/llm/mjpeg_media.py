@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, text_buffer
+from .common import small_batches, table, text_buffer
 
 ACROSS, DOWN = 16, 12
 UNIT = ACROSS * DOWN
@@ -281,6 +281,7 @@ def pad(raw: bytes) -> bytes:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id and media, the AVI file of the text's padded UTF-8 bytes."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -319,6 +320,7 @@ def _digest(raw: bytes) -> tuple:
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """Write each text's AVI, read it back, and return the digests of what was read."""
+    small_batches(docs.sparkSession)
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 

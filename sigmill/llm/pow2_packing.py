@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import small_batches, table
 
 LENGTH = 1024
 #: Texts of these characters, without two white spaces in a row or one at the end, are cut at white space.
@@ -146,6 +146,7 @@ def pow2_packing(docs: DataFrame, path: str | None = None, length: int = LENGTH,
 
     length: the longest piece, a power of two up to 2**15.
     """
+    small_batches(docs.sparkSession)
     if length & (length - 1) or not 1 <= length <= 2**15:
         raise ValueError("length must be a power of two up to 32768")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))

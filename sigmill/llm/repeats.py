@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import NO_ID, keyed, materialize, slices, text_buffer
+from .common import NO_ID, keyed, materialize, slices, small_batches, text_buffer
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -256,6 +256,7 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
 
 def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512) -> DataFrame:
     """docs' columns under their names in struct ``row``, k, tag, text (null as empty) and spans: the repeated windows' (first, n), null if none."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
     runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, place long")
     shared = runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh")
