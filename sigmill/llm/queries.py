@@ -7,8 +7,10 @@ from .poisson_mix import OP7_SQL, op7_poisson_mix
 from .pow2_packing import op6_pow2_packing
 from .suffix_dedup import op8_suffix_dedup
 from .superkmer_dedup import op5_superkmer_dedup
+from .toxicity_knn import op2_toxicity_knn
 
 QUERIES = {
+    "op2_toxicity_knn": op2_toxicity_knn,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_pow2_packing": op6_pow2_packing,
