@@ -1,6 +1,7 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
 from .histogram_topk import OP10_SQL, op10_histogram_topk
+from .language_crf import op1_language_crf
 from .minhash_dedup import op3_minhash_dedup
 from .mjpeg_media import op9_mjpeg_media
 from .poisson_mix import OP7_SQL, op7_poisson_mix
@@ -10,6 +11,7 @@ from .superkmer_dedup import op5_superkmer_dedup
 from .toxicity_knn import op2_toxicity_knn
 
 QUERIES = {
+    "op1_language_crf": op1_language_crf,
     "op2_toxicity_knn": op2_toxicity_knn,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_superkmer_dedup": op5_superkmer_dedup,
