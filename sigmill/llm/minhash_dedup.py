@@ -148,8 +148,8 @@ def components(edges: DataFrame) -> DataFrame:
         cur = materialize(small.distinct())
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scanned, classes, roots): id, n, d1, d2 of each row; the node of each digest; the root of each node that is none."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>"))
@@ -179,11 +179,26 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
             if new.limit(1).count():
                 links = materialize(links.union(new))
                 roots = materialize(components(links))
+    return scanned, classes, roots
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+    scanned, classes, roots = _placed(docs, shingle, bands, rows, threshold, hubs)
     out = scanned.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots, "node", "left")
     root = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
     real = lambda c: F.when(c != LAST, c)
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(root).alias("component_id"), (F.col("id") == root).alias("kept"))
 
 
+def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; repeated rows of a kept doc_id stay as one."""
+    found = near_components(docs, shingle, bands, rows, threshold, hubs)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_is")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates() if repeated else kept
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
