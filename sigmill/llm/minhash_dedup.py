@@ -14,8 +14,10 @@ shingles (64-bit hashes); with fewer words the whole sequence is the only one. T
 4. Candidates' sets are made from the texts again, only where a node has a candidate, and joined to the pairs.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 6. A star can miss a link between two of its rays. Buckets that still hold more than one component are taken again
-   with their next ``hubs`` nodes as hubs, against later nodes of other components only, until every pair of nodes
-   in every bucket is in one component or has been compared. Each round adds at most hubs * m pairs.
+   with their next nodes as hubs, against later nodes of other components only and if bit maps of the two sets (which
+   bound the intersection from above) don't rule the pair out, until every pair of nodes in every
+   bucket is in one component or has been compared. A round takes as many hubs a bucket (``hubs`` at least) as keep
+   its pairs in proportion to all buckets' rows.
 
 Null and empty texts have no set and are linked with nothing. doc_id names a document: repeated rows get the same
 component, and an id with two texts has the links of both. A null doc_id counts as larger than any other; its
@@ -34,6 +36,8 @@ from .common import materialize, slices, small_batches, table, text_buffer
 from .repeats import STEP, Sums, mixed, word_units
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 4, 32, 5, 80
+#: 64-bit words of a set's bit map.
+MAP = 32
 #: Stands for a null doc_id: larger than any other.
 LAST = 2**63 - 1
 LOWER = np.arange(256, dtype=np.uint8)
@@ -92,6 +96,22 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def bit_maps(h: np.ndarray, soff: np.ndarray) -> np.ndarray:
+    """(texts, MAP): one bit for each shingle, at its hash."""
+    at = mixed(h, 50) % np.uint64(64 * MAP)
+    out = np.zeros((len(soff) - 1) * MAP, np.uint64)
+    text = np.repeat(np.arange(len(soff) - 1), np.diff(soff))
+    np.bitwise_or.at(out, text * MAP + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, MAP)
+
+
+def may_be_near(threshold: int) -> str:
+    """Whether sets with sizes n, na and maps bits, ba can be similar enough: each bit that only one map has is a
+    shingle that only that set has, so this never rejects a similar pair."""
+    only = lambda x, y: " + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(MAP))
+    return f"(100 + {threshold}) * least(na - ({only('ba', 'bits')}), n - ({only('bits', 'ba')})) >= {threshold} * (n + na)"
+
+
 def _scan(shingle, bands, rows):
     def run(batches):
         for batch in batches:
@@ -104,7 +124,8 @@ def _scan(shingle, bands, rows):
                 d = [(sums[k][soff[1:]] - sums[k][soff[:-1]]).view(np.int64) for k in (0, 1)]
                 keys = band_keys(sketches(h, soff, bands * rows), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(soff)), pa.array(d[0]), pa.array(d[1]), lists], ["id", "n", "d1", "d2", "bands"])
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * MAP + 1, MAP), pa.int32()), pa.array(bit_maps(h, soff).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(soff)), pa.array(d[0]), pa.array(d[1]), lists, maps], ["id", "n", "d1", "d2", "bands", "bits"])
 
     return run
 
@@ -152,7 +173,7 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     """(scanned, classes, roots): id, n, d1, d2 of each row; the node of each digest; the root of each node that is none."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>"))
+    scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>, bits array<long>"))
     classes = materialize(scanned.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node")))
     nodes = scanned.where("n > 0").join(classes, ["d1", "d2"]).where("id = node")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -161,24 +182,36 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     done = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(materialize(done), texts, shingle, threshold)
     roots = materialize(components(links))
-    turn = 0
+    everything = buckets.count()
+    left, low = buckets.where("node <> hub").withColumn("turn", F.lit(0)), 0
     while True:  # buckets with more than one component, by their next hubs
-        placed = buckets.join(roots, "node", "left").select("key", "hub", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where(f"r0 <> r1 and m > {2 + turn * hubs}").select("key")
-        left = placed.join(mixed_keys, "key").where("node <> hub").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        left = materialize(left.select("key", "node", "n", "root", "turn"))
-        if not left.limit(1).count():
+        columns = ["node", "n", "turn", *(["bits"] if low else [])]
+        placed = left.drop("root").join(roots, "node", "left").select("key", *columns, F.coalesce("root", "node").alias("root"))
+        split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        left = placed.join(split, "key")
+        if low == 0:
+            left = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        left = left.where(F.col("turn") > low)
+        if low == 0:
+            left = left.join(scanned.select(F.col("id").alias("node"), "bits"), "node")
+        left = materialize(left.dropDuplicates(["key", "node"]))
+        rows_left = left.count()
+        if not rows_left:
             break
-        low, high = turn * hubs, (turn + 1) * hubs
-        first = left.where((F.col("turn") > low) & (F.col("turn") <= high)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("turn").alias("ta"))
-        pairs = first.join(left.where(F.col("turn") > low), "key").where(f"turn > ta and root <> ra and 100 * least(n, na) >= {threshold} * greatest(n, na)").select("a", F.col("node").alias("b")).distinct()
+        high = low + max(hubs, 8 * everything // rows_left)  # so a round's pairs are at most in proportion to the input
+        first = left.where(F.col("turn") <= high).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("turn").alias("ta"), F.col("bits").alias("ba"))
+        pairs = first.join(left, "key").where(f"turn > ta and root <> ra and {may_be_near(threshold)}").select("a", F.col("node").alias("b")).distinct()
         pairs = materialize(pairs)
-        turn += 1
+        low = high
         if pairs.limit(1).count():
             new = confirm(pairs, texts, shingle, threshold)
             if new.limit(1).count():
-                links = materialize(links.union(new))
-                roots = materialize(components(links))
+                up = lambda side: F.coalesce(F.col(f"r{side}"), F.col(side)).alias(side)
+                ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+                joined = new.join(ra, "a", "left").join(rb, "b", "left").select(up("a"), up("b"))
+                higher = materialize(components(joined))
+                above = higher.select(F.col("node").alias("root"), F.col("root").alias("top"))
+                roots = materialize(roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(higher.join(roots, "node", "left_anti")))
     return scanned, classes, roots
 
 
