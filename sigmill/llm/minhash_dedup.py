@@ -11,13 +11,14 @@ shingles (64-bit hashes); with fewer words the whole sequence is the only one. T
 2. Equal sets (copies) are one node, the smallest doc_id, whatever their number.
 3. A bucket of m nodes gives m - 1 candidates: its smallest node is the hub of a star. Hubs come from map-side
    minima and are joined back, so no task needs a whole bucket.
-4. Candidates' sets are made from the texts again, only where a node has a candidate, and joined to the pairs.
+4. Candidates' sets are made from the texts again, in a pass that a bit map of the wanted ids (of bounded size) lets
+   skip most texts, and joined to the pairs. Texts themselves never travel.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 6. A star can miss a link between two of its rays. Buckets that still hold more than one component are taken again
    with their next nodes as hubs, against later nodes of other components only and if bit maps of the two sets (which
    bound the intersection from above) don't rule the pair out, until every pair of nodes in every
-   bucket is in one component or has been compared. A round takes as many hubs a bucket (``hubs`` at least) as keep
-   its pairs in proportion to all buckets' rows.
+   bucket is in one component or is in a round. A round takes as many hubs a bucket (``hubs`` at least) as keep its
+   pairs in proportion to all buckets' rows. The pairs are confirmed as in 4, and their links join components.
 
 Null and empty texts have no set and are linked with nothing. doc_id names a document: repeated rows get the same
 component, and an id with two texts has the links of both. A null doc_id counts as larger than any other; its
@@ -26,7 +27,7 @@ component_id is null if no other id is reachable. An empty table gives an empty
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +131,35 @@ def _scan(shingle, bands, rows):
     return run
 
 
-def _sets(shingle):
+#: At most so many bits mark the wanted ids; beyond about as many ids the map lets all texts pass, and the join decides.
+MOST_BITS = 1 << 26
+
+
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return mixed(ids.astype(np.int64).view(np.uint64), 60) & np.uint64(bits - 1)
+
+
+def _marks(bits):
+    """(word, mark) for the ids of a partition."""
+
+    def run(batches):
+        marks = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = _slot(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(marks, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        word = np.flatnonzero(marks)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(marks[word].view(np.int64))], ["word", "mark"])
+
+    return run
+
+
+def _sets(shingle, marks, bits):
     def run(batches):
+        wanted = marks.value
         for batch in batches:
+            at = _slot(batch.column(0).to_numpy(), bits)
+            hit = wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            batch = batch.filter(pa.array(hit.astype(bool)))
             off, raw = text_buffer(batch.column(1))
             for i, j in slices(off, STEP):
                 h, soff = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
@@ -145,7 +172,13 @@ def _sets(shingle):
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; texts: (id, text)."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(texts.join(wanted, "id").select("id", "text").mapInArrow(_sets(shingle), "id long, grams array<long>"))
+    wanted = materialize(wanted)
+    bits = 1 << min(max(16 * wanted.count(), 64).bit_length(), MOST_BITS.bit_length() - 1)
+    marks = np.zeros(bits // 64, np.uint64)
+    got = wanted.mapInArrow(_marks(bits), "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()  # at most bits / 64 rows
+    marks[got["word"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+    sets = materialize(texts.mapInArrow(_sets(shingle, shared, bits), "id long, grams array<long>").join(wanted, "id"))
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("same"))
@@ -181,37 +214,27 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     buckets = materialize(keys.join(shared, "key").select("key", "hub", "node", "n").distinct())
     done = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(materialize(done), texts, shingle, threshold)
-    roots = materialize(components(links))
-    everything = buckets.count()
-    left, low = buckets.where("node <> hub").withColumn("turn", F.lit(0)), 0
-    while True:  # buckets with more than one component, by their next hubs
-        columns = ["node", "n", "turn", *(["bits"] if low else [])]
-        placed = left.drop("root").join(roots, "node", "left").select("key", *columns, F.coalesce("root", "node").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        left = placed.join(split, "key")
-        if low == 0:
-            left = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        left = left.where(F.col("turn") > low)
-        if low == 0:
-            left = left.join(scanned.select(F.col("id").alias("node"), "bits"), "node")
-        left = materialize(left.dropDuplicates(["key", "node"]))
-        rows_left = left.count()
-        if not rows_left:
-            break
+    roots = components(links)
+    placed = buckets.where("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    left = placed.join(split, "key").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+    left = materialize(left.join(scanned.select(F.col("id").alias("node"), "bits"), "node").dropDuplicates(["key", "node"]))
+    everything, low, more = buckets.count(), 0, []
+    while rows_left := left.where(F.col("turn") > low).count():
         high = low + max(hubs, 8 * everything // rows_left)  # so a round's pairs are at most in proportion to the input
-        first = left.where(F.col("turn") <= high).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("turn").alias("ta"), F.col("bits").alias("ba"))
-        pairs = first.join(left, "key").where(f"turn > ta and root <> ra and {may_be_near(threshold)}").select("a", F.col("node").alias("b")).distinct()
-        pairs = materialize(pairs)
+        first = left.where((F.col("turn") > low) & (F.col("turn") <= high)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("turn").alias("ta"), F.col("bits").alias("ba"))
+        pairs = first.join(left.where(F.col("turn") > low), "key").where(f"turn > ta and root <> ra and {may_be_near(threshold)}")
+        more.append(materialize(pairs.select("a", F.col("node").alias("b")).distinct()))
         low = high
-        if pairs.limit(1).count():
-            new = confirm(pairs, texts, shingle, threshold)
-            if new.limit(1).count():
-                up = lambda side: F.coalesce(F.col(f"r{side}"), F.col(side)).alias(side)
-                ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-                joined = new.join(ra, "a", "left").join(rb, "b", "left").select(up("a"), up("b"))
-                higher = materialize(components(joined))
-                above = higher.select(F.col("node").alias("root"), F.col("root").alias("top"))
-                roots = materialize(roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(higher.join(roots, "node", "left_anti")))
+    if more:
+        pairs = reduce(DataFrame.union, more)
+        new = confirm(materialize(pairs.distinct()) if len(more) > 1 else pairs, texts, shingle, threshold)
+        if new.limit(1).count():
+            up = lambda side: F.coalesce(F.col(f"r{side}"), F.col(side)).alias(side)
+            ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            higher = components(new.join(ra, "a", "left").join(rb, "b", "left").select(up("a"), up("b")))
+            above = higher.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(higher)
     return scanned, classes, roots
 
 
