@@ -259,7 +259,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_b
     small_batches(docs.sparkSession)
     rows = keyed(docs)
     runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, place long")
-    shared = runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh")
+    shared = materialize(runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh"))  # a table, so that AQE may split hot buckets in the join
     alive = materialize(runs.join(shared, "mh"))
     copies = alive.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "place")).alias("rep"))
     by_bucket = Window.partitionBy("mh")
