@@ -9,8 +9,8 @@ Ties at the kth value are cut to the k smallest vec_id in each partition before
 so a vector that fills a third of the table adds at most k rows per partition and query.
 
 Scores are 64-bit integers: float64 products where the bound dim * max|q| * max|c| proves them exact (under
-2**53), integer products otherwise; a vector with a component outside +-2**28 after scaling takes no part, as
-one that is null, empty or holds null or non-finite components, or whose length differs from the query's.
+2**53), integer products otherwise. A vector that is null, empty or holds null or non-finite components takes no
+part, nor one whose products could leave 64 bits (see LIMIT); vectors meet queries of their own length only.
 Repeated vec_ids are separate rows; a query leaves out every row with its own vec_id. No queries, or no
 candidates, give an empty result.
 """
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
-LIMIT = 2.0**28
+#: length * (largest component)**2 of a vector must be under it: then no inner product of two such vectors leaves 64 bits.
+LIMIT = 2.0**61
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(256 * x) of each component as double; vectors that can't take part are left out."""
     x = F.transform(F.col("embedding"), lambda c: F.floor(F.lit(256.0) * c.cast("double")).cast("double"))
-    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) > LIMIT / 256))
+    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.pow(F.abs(c.cast("double")) * 256 + 1, 2) * F.size("embedding") >= LIMIT))
     return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
 
 

@@ -210,7 +210,7 @@ def _pairs(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
         f[:, t] = v
     total, w = np.zeros((k, k)), np.ones((n, k))
     for t in range(top - 1, 0, -1):
-        w = np.where((t >= lengths)[:, None], 1.0, w)
+        w = np.where((t >= lengths - 1)[:, None], 1.0, w)
         x = side[:, t] * w
         j = f[:, t - 1][:, :, None] * a[None] * x[:, None, :]
         j /= j.sum(axis=(1, 2), keepdims=True)

@@ -253,7 +253,7 @@ def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows:
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_is")).distinct()
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates() if repeated else kept
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
