@@ -14,11 +14,10 @@ shingles (64-bit hashes); with fewer words the whole sequence is the only one. T
 4. Candidates' sets are made from the texts again, in a pass that a bit map of the wanted ids (of bounded size) lets
    skip most texts, and joined to the pairs. Texts themselves never travel.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
-6. A star can miss a link between two of its rays. Buckets that still hold more than one component are taken again
-   with their next nodes as hubs, against later nodes of other components only and if bit maps of the two sets (which
-   bound the intersection from above) don't rule the pair out, until every pair of nodes in every
-   bucket is in one component or is in a round. A round takes as many hubs a bucket (``hubs`` at least) as keep its
-   pairs in proportion to all buckets' rows. The pairs are confirmed as in 4, and their links join components.
+6. A star can miss a link between two of its rays. The rays of buckets that still hold more than one component are
+   compared by bit maps of their sets, which bound the intersection from above: in blocks of ``block`` nodes, so that a
+   task holds two blocks, and only pairs of different components that the bound doesn't rule out are emitted. They're
+   confirmed as in 4, and their links join components.
 
 Null and empty texts have no set and are linked with nothing. doc_id names a document: repeated rows get the same
 component, and an id with two texts has the links of both. A null doc_id counts as larger than any other; its
@@ -27,7 +26,7 @@ component_id is null if no other id is reachable. An empty table gives an empty
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,11 +105,46 @@ def bit_maps(h: np.ndarray, soff: np.ndarray) -> np.ndarray:
     return out.view(np.int64).reshape(-1, MAP)
 
 
-def may_be_near(threshold: int) -> str:
-    """Whether sets with sizes n, na and maps bits, ba can be similar enough: each bit that only one map has is a
-    shingle that only that set has, so this never rejects a similar pair."""
-    only = lambda x, y: " + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(MAP))
-    return f"(100 + {threshold}) * least(na - ({only('ba', 'bits')}), n - ({only('bits', 'ba')})) >= {threshold} * (n + na)"
+def may_be_near(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, threshold: int) -> np.ndarray:
+    """For maps a, b of sets with na, nb shingles, whether each pair can be similar enough: a bit that only one map has
+    is a shingle that only that set has, so this never rejects a similar pair."""
+    both = np.bitwise_count(a[:, None, :] & b[None, :, :]).sum(axis=2, dtype=np.int64)
+    only_a, only_b = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None] - both, np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :] - both
+    common = np.minimum(na[:, None] - only_a, nb[None, :] - only_b)
+    return (100 + threshold) * common >= threshold * (na[:, None] + nb[None, :])
+
+
+def _block_pairs(threshold, step: int = 64):
+    """Rows (key, lo, hi, block, node, n, root, bits), sorted by (key, lo, hi), to the pairs of nodes of block lo with
+    nodes of block hi that lie in different components and may be near."""
+
+    def settle(block, lo, hi, node, n, root, bits):
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        for i in range(0, len(x), step):
+            p = x[i : i + step]
+            ok = may_be_near(bits[p], n[p], bits[y], n[y], threshold) & (root[p][:, None] != root[y][None, :])
+            if lo == hi:
+                ok &= p[:, None] < y[None, :]
+            r, c = np.nonzero(ok)
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p[r]], node[y[c]])), pa.array(np.maximum(node[p[r]], node[y[c]]))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns[:7]]
+            cols.append(batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, MAP))
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            key, lo, hi = cols[:3]
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(key) else np.zeros(0, np.int64)
+            for i, j in zip(starts[:-1], starts[1:]):
+                yield from settle(cols[3][i:j], lo[i], hi[i], *(c[i:j] for c in cols[4:]))
+            held = [c[starts[-1] :] for c in cols] if len(starts) else None
+        if held is not None and len(held[0]):
+            yield from settle(held[3], held[1][0], held[2][0], *held[4:])
+
+    return run
 
 
 def _scan(shingle, bands, rows):
@@ -188,12 +222,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) ->
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes that aren't the smallest of their component; edges: (a, b)."""
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     while True:
-        mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        inner = cur.join(cur.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+        if not inner and not cur.groupBy("u").count().where("count > 1").limit(1).count():  # stars around their smallest nodes
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -202,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         cur = materialize(small.distinct())
 
 
-def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scanned, classes, roots): id, n, d1, d2 of each row; the node of each digest; the root of each node that is none."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -216,19 +248,15 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     links = confirm(materialize(done), texts, shingle, threshold)
     roots = components(links)
     placed = buckets.where("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = placed.join(split, "key").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-    left = materialize(left.join(scanned.select(F.col("id").alias("node"), "bits"), "node").dropDuplicates(["key", "node"]))
-    everything, low, more = buckets.count(), 0, []
-    while rows_left := left.where(F.col("turn") > low).count():
-        high = low + max(hubs, 8 * everything // rows_left)  # so a round's pairs are at most in proportion to the input
-        first = left.where((F.col("turn") > low) & (F.col("turn") <= high)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("turn").alias("ta"), F.col("bits").alias("ba"))
-        pairs = first.join(left.where(F.col("turn") > low), "key").where(f"turn > ta and root <> ra and {may_be_near(threshold)}")
-        more.append(materialize(pairs.select("a", F.col("node").alias("b")).distinct()))
-        low = high
-    if more:
-        pairs = reduce(DataFrame.union, more)
-        new = confirm(materialize(pairs.distinct()) if len(more) > 1 else pairs, texts, shingle, threshold)
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", "m")
+    left = placed.join(split, "key").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / block).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / block).cast("int"))))
+    left = left.join(scanned.select(F.col("id").alias("node"), "bits").dropDuplicates(["node"]), "node")
+    left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "bits")
+    pairs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
+    pairs = materialize(pairs)
+    if pairs.limit(1).count():
+        new = confirm(pairs, texts, shingle, threshold)
         if new.limit(1).count():
             up = lambda side: F.coalesce(F.col(f"r{side}"), F.col(side)).alias(side)
             ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -238,18 +266,18 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     return scanned, classes, roots
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
-    scanned, classes, roots = _placed(docs, shingle, bands, rows, threshold, hubs)
+    scanned, classes, roots = _placed(docs, shingle, bands, rows, threshold, block)
     out = scanned.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots, "node", "left")
     root = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
     real = lambda c: F.when(c != LAST, c)
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(root).alias("component_id"), (F.col("id") == root).alias("kept"))
 
 
-def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, hubs: int = 16) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; repeated rows of a kept doc_id stay as one."""
-    found = near_components(docs, shingle, bands, rows, threshold, hubs)
+    found = near_components(docs, shingle, bands, rows, threshold, block)
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_is")).distinct()
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -57,7 +57,7 @@ def test_components_equal_brute_force(odd_docs):
 
 def test_chains_and_stars(spark):
     rows, docs = families(spark)
-    got = near_components(docs, hubs=2).collect()
+    got = near_components(docs, block=7).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 80)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
