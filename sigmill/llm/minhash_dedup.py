@@ -30,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, slices, small_batches, table, text_buffer
 from .repeats import STEP, Sums, mixed, word_units
@@ -227,9 +227,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not inner and not cur.groupBy("u").count().where("count > 1").limit(1).count():  # stars around their smallest nodes
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # tables, so that AQE may split a hub's edges
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         cur = materialize(small.distinct())
 
@@ -243,14 +244,14 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     nodes = scanned.where("n > 0").join(classes, ["d1", "d2"]).where("id = node")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
-    buckets = materialize(keys.join(shared, "key").select("key", "hub", "node", "n").distinct())
+    buckets = materialize(keys.join(materialize(shared), "key").select("key", "hub", "node", "n").distinct())
     done = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(materialize(done), texts, shingle, threshold)
     roots = components(links)
     placed = buckets.where("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", "m")
-    left = placed.join(split, "key").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / block).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / block).cast("int"))))
+    left = placed.join(materialize(split), "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.join(scanned.select(F.col("id").alias("node"), "bits").dropDuplicates(["node"]), "node")
     left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "bits")
     pairs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
