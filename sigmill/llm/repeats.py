@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import NO_ID, keyed, materialize, slices, small_batches, text_buffer
 
@@ -261,10 +261,10 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_b
     runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, place long")
     shared = materialize(runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh"))  # a table, so that AQE may split hot buckets in the join
     alive = materialize(runs.join(shared, "mh"))
-    copies = alive.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "place")).alias("rep"))
-    by_bucket = Window.partitionBy("mh")
-    copies = copies.withColumn("kinds", F.count(F.lit(1)).over(by_bucket)).where("c > 1 or kinds > 1")
-    found = materialize(alive.join(copies, ["mh", "dg"]).select("mh", "k", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.xxhash64("k", "place") == F.col("rep")))).alias("compare"), (F.col("kinds") > hot).alias("hot")))
+    copies = materialize(alive.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "place")).alias("rep")))
+    kinds = materialize(copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    known = alive.join(copies, ["mh", "dg"]).join(kinds, "mh", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    found = materialize(known.select("mh", "k", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.xxhash64("k", "place") == F.col("rep")))).alias("compare"), (F.col("kinds") > hot).alias("hot")).where("copied or compare"))
     tag = F.expr(TAG)
     texts = rows.select("k", F.shiftrightunsigned("th", 44).alias("tag"), "text")
     parts = found.where("copied").select("k", "place")
@@ -276,7 +276,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_b
     parts = parts.union(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, place long"))
     if found.where("compare and hot").limit(1).count():
         single = texts.join(lists("compare and hot"), ["k", "tag"]).select("k", "text", "runs").mapInArrow(_single(unit, window), "mh long, dg long, k long, place long")
-        many = single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg")
+        many = materialize(single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg"))
         parts = parts.union(single.join(many, ["mh", "dg"]).select("k", "place"))
     spans = parts.groupBy("k", tag.alias("tag")).agg(F.collect_list(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
     if set(docs.columns) <= {"doc_id", "text"}:  # the same columns as above, so that one exchange of the texts serves both joins
