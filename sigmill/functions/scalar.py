@@ -153,3 +153,21 @@ def hashed_uniform(seed: int, *keys) -> Column:
     """A number in (0, 1) that depends on the seed and the keys only, not on how the data are partitioned."""
     h = F.xxhash64(F.lit(seed), *[c_(k) for k in keys])
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(2**53)
+
+
+def random_points(spark, n: int, totals: list[float], starts: list[float] | None = None, seed: int = 1):
+    """(id, p0, p1, ..): n points in a box, by hash of seed and id."""
+    starts = starts or [1.0] * len(totals)
+    return spark.range(n).select("id", *[(a + (b - a) * hashed_uniform(seed + 31 * q, "id")).alias(f"p{q}") for q, (a, b) in enumerate(zip(starts, totals))])
+
+
+def latin_hypercube_points(spark, n: int, totals: list[float], starts: list[float] | None = None, seed: int = 1):
+    """(id, p0, p1, ..): in each dimension one point in each of n equal strata, strata dealt by hash."""
+    from pyspark.sql import Window
+
+    starts = starts or [1.0] * len(totals)
+    out = spark.range(n)
+    for q, (a, b) in enumerate(zip(starts, totals)):
+        stratum = F.row_number().over(Window.orderBy(hashed_uniform(seed + 101 * q, "id"), "id")) - 1  # n points are few
+        out = out.withColumn(f"p{q}", a + (b - a) * (stratum + hashed_uniform(seed + 7 + 31 * q, "id")) / n)
+    return out

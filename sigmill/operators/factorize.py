@@ -320,3 +320,28 @@ def factorize_tall(rows: DataFrame, k: int, iterations: int = 50, seed: int = 0,
         if i % save_every == save_every - 1 or i % 2:
             state = materialized(state)
     return state.select("id", "w"), h, fit
+
+
+def selection_table(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """(k, r2, fit, robustness): r2 of data cells (i, j, v) with each k's reconstruction, fit over its largest, robustness."""
+    from ..functions import missing as m
+
+    w = found.select("k", F.posexplode("w").alias("i", "_w"), "h")
+    e = w.select("k", "i", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(F.element_at("h", 1)) - 1), lambda j: F.aggregate(F.zip_with("_w", F.transform("h", lambda r: F.element_at(r, j + 1)), lambda p, q: p * q), F.lit(0.0), lambda a, b: a + b))).alias("j", "e"))
+    r2 = e.join(cells, ["i", "j"]).groupBy("k").agg(m.r2("v", "e").alias("r2"))
+    top = found.agg(F.max("fit").alias("_t"))
+    return found.crossJoin(F.broadcast(top)).join(r2, "k").select("k", "r2", F.try_divide("fit", "_t").alias("fit"), "robustness")
+
+
+def sweep_cached(rows: DataFrame, ks: list[int], root: str, case: str = "sweep", o: Options = Options()) -> DataFrame:
+    """Solutions kept under the case, the data's content key and the options; only the ks that aren't there are computed."""
+    import hashlib
+
+    from ..sources.store import content_key, load_solutions
+
+    name = f"{case}-{content_key(rows)[:16]}-{hashlib.sha256(repr(o).encode()).hexdigest()[:16]}"
+    have = {r["k"] for r in load_solutions(rows.sparkSession, root, name).select("k").collect()}
+    todo = [k for k in ks if k not in have]
+    if todo:
+        sweep(rows, todo, o).withColumn("case", F.lit(name)).write.partitionBy("case", "k").mode("append").parquet(root)
+    return load_solutions(rows.sparkSession, root, name, ks)

@@ -153,8 +153,11 @@ def alternating(x, k, seed=0, rounds=60, ridge=1e-8, w=None, h=None, fix_w=False
     return w, h, residual(x, w, h)
 
 
-def mixing(x, k, seed=0, iterations=3000, ridge=0.0, deltas=None, delta_columns=None, delta_weight=1.0):
-    """Mixing model: rows of W on the simplex, H >= 0; x may have gaps.
+def mixing(x, k, seed=0, iterations=3000, ridge=0.0, deltas=None, delta_columns=None, delta_weight=1.0, ratios=None, ratio_pairs=None, ratio_weight=1.0):
+    """Mixing model: rows of W on the simplex, H >= 0; x may have gaps. Times stacked as further rows share H.
+
+    ratios (rows x r) are observed quotients of the columns in ratio_pairs [(a, b), ..]; each adds the term
+    ratio_weight * ((WH)_a - ratio * (WH)_b)^2.
 
     deltas (rows x d) with the columns of H they go with add the term
     delta_weight * (sum_k W H D / sum_k W H - delta)^2 through D >= its data's range, fitted by turns. Returns W, H, D, fit.
@@ -167,14 +170,30 @@ def mixing(x, k, seed=0, iterations=3000, ridge=0.0, deltas=None, delta_columns=
     scale = np.where(top > 0, top, 1.0)
     z = np.where(seen, x / scale, 0.0)
     h = rng.random((k, x.shape[1]))
-    d = None
+    d, extra = None, 1.0
+    if ratios is not None:
+        ratios = np.array(ratios, float)
+        extra = 1.0 + ratio_weight * (1.0 + np.nanmax(ratios) * (scale[[b for _, b in ratio_pairs]] / scale[[a for a, _ in ratio_pairs]]).max()) ** 2
+
+    def error():
+        """The gradient of the squared error by WH, in scaled columns."""
+        v = w @ h
+        e = seen * (v - z)
+        if ratios is not None:
+            for q, (a, b) in enumerate(ratio_pairs):
+                r = ratios[:, q] * scale[b] / scale[a]
+                ok = ~np.isnan(r)
+                r = np.where(ok, r, 0.0)
+                f = ratio_weight * ok * (v[:, a] - r * v[:, b])
+                e[:, a] += f
+                e[:, b] -= r * f
+        return e
+
     for _ in range(iterations // 10):
         for _ in range(5):
-            g = w.T @ (seen * (w @ h - z)) + ridge * h
-            h = np.maximum(h - g / max(np.linalg.norm(w.T @ w, 2) + ridge, 1e-12), 0)
+            h = np.maximum(h - (w.T @ error() + ridge * h) / max(np.linalg.norm(w.T @ w, 2) * extra + ridge, 1e-12), 0)
         for _ in range(5):
-            g = (seen * (w @ h - z)) @ h.T
-            w = to_simplex(w - g / max(np.linalg.norm(h @ h.T, 2), 1e-12))
+            w = to_simplex(w - error() @ h.T / max(np.linalg.norm(h @ h.T, 2) * extra, 1e-12))
     h = h * scale
     if deltas is not None:
         deltas = np.array(deltas, float)

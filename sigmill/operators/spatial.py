@@ -184,3 +184,25 @@ def contour_map(df: DataFrame, x: str, y: str, z: str, resolution: int = 50, nei
     box = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     values = inverse_distance(points, grid, x, y, z, power, neighbours=neighbours)
     return geojson_tiles(values, (box[1] - box[0]) / max(resolution - 1, 1), (box[3] - box[2]) / max(resolution - 1, 1), expanded(corners, padding))
+
+
+def densified(corners: list[tuple[float, float]], step: float) -> list[tuple[float, float]]:
+    """The polygon's outline as points at most step apart."""
+    out = []
+    for (xa, ya), (xb, yb) in zip(corners, corners[1:] + corners[:1]):
+        n = max(1, math.ceil(math.hypot(xb - xa, yb - ya) / step))
+        out += [(xa + (xb - xa) * i / n, ya + (yb - ya) * i / n) for i in range(n)]
+    return out
+
+
+def near_outline(df: DataFrame, x: str, y: str, key: str, corners: list[tuple[float, float]], distance: float, most: int = 100, least: int = 0) -> DataFrame:
+    """The points within distance of the polygon's outline: the nearest most of them, and at least so many nearest ones."""
+    d = None
+    for (xa, ya), (xb, yb) in zip(corners, corners[1:] + corners[:1]):
+        long = (xb - xa) ** 2 + (yb - ya) ** 2
+        s = F.lit(0.0) if long == 0 else F.greatest(F.least(((F.col(x) - xa) * (xb - xa) + (F.col(y) - ya) * (yb - ya)) / long, F.lit(1.0)), F.lit(0.0))
+        e = F.sqrt(F.pow(F.col(x) - (xa + s * (xb - xa)), 2) + F.pow(F.col(y) - (ya + s * (yb - ya)), 2))
+        d = e if d is None else F.least(d, e)
+    ranked = df.withColumn("outline_distance", d).orderBy("outline_distance", key).limit(max(most, least))
+    w = Window.orderBy("outline_distance", key)
+    return ranked.withColumn("_r", F.row_number().over(w)).where((F.col("outline_distance") <= distance) | (F.col("_r") <= least)).drop("_r")

@@ -189,3 +189,47 @@ def name_products(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
 
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda p, q: p | q, columns)
+
+
+def minmax_auto_log(cells: DataFrame, axis: str, min_skewness: float = 1.0, min_log_range: float = 1.5, offset: float = 1.0) -> DataFrame:
+    """Cells (.., v) scaled to [0, 1] in each slice of the axis, after log10 where the slice is skewed or spans decades; adds logged.
+
+    A slice without spread becomes 1 (0 if it is 0). Values not over 0 take the smallest log minus offset.
+    """
+    v = m.value("v")
+    out = with_stats(cells, {"_sk": F.skewness(v), "_a": F.min(v), "_b": F.max(v), "_least": F.min(F.log10(F.when(v > 0, v)))}, [axis])
+    wide = F.when(F.col("_a") > 0, F.log10(F.when(F.col("_b") > 0, F.col("_b"))) - F.log10(F.when(F.col("_a") > 0, F.col("_a"))) > min_log_range).otherwise(F.col("_b") > 0)
+    logged = F.coalesce((F.nanvl(F.col("_sk"), F.lit(0.0)) > min_skewness) | wide, F.lit(False))
+    y = F.when(~logged, v).when(v > 0, F.log10(F.when(v > 0, v))).when(v.isNotNull(), F.col("_least") - offset)
+    out = out.withColumns({"logged": logged, "v": y}).drop("_sk", "_a", "_b", "_least")
+    return minmax(out, ["v"], constant="one", by=[axis])
+
+
+def mask_mixers(w: DataFrame, cells: DataFrame) -> DataFrame:
+    """W (i, k, w) with weights missing for rows i that have no value in cells (i, j, v)."""
+    seen = cells.where(m.value("v").isNotNull()).select("i").distinct().withColumn("_s", F.lit(True))
+    return w.join(seen, "i", "left").withColumn("w", F.when(F.col("_s"), F.col("w"))).drop("_s")
+
+
+def lonlat_columns(df: DataFrame) -> tuple[str | None, str | None]:
+    """The columns that look like longitude and latitude."""
+    import re
+
+    find = lambda pattern: next((c for c in df.columns if re.match(pattern, c, re.I)), None)
+    return find(r"(lon|lng|long|longitude|x)([^a-z]|$)"), find(r"(lat|latitude|y)([^a-z]|$)")
+
+
+def text_or_missing(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+
+
+def axis_order(sizes: tuple[int, ...], target: tuple[int, ...]) -> list[int]:
+    """A permutation of axes that turns sizes into target; each axis is used once, ties from the left."""
+    free, out = list(range(len(sizes))), []
+    for n in target:
+        i = next((a for a in free if sizes[a] == n), None)
+        if i is None:
+            raise ValueError(f"{sizes} can't be ordered as {target}")
+        free.remove(i)
+        out.append(i)
+    return out

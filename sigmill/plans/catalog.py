@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import missing as m, scalar as s
 from ..operators import binning, cluster, encode, factorize as fz, order, pivot, post, profile, reduce as rd, spatial, transform as tr, windows as wn
@@ -441,6 +441,42 @@ def name_products(spark, sf):
     return tr.name_products(t(spark, sf, "region"), t(spark, sf, "part"), "r_name", "p_type")
 
 
+_ACC = "(SELECT CAST(c_nationkey AS INTEGER) AS i, c_custkey AS j, abs(c_acctbal) + 1 AS v FROM customer)"
+
+
+@query(f"WITH s AS (SELECT i, (avg(power(v, 3)) - 3 * avg(v) * avg(v * v) + 2 * power(avg(v), 3)) / power(var_pop(v), 1.5) > 1 OR log10(max(v)) - log10(min(v)) > 1.5 AS logged FROM {_ACC} GROUP BY 1), y AS (SELECT a.i, j, logged, CASE WHEN logged THEN log10(v) ELSE v END AS y FROM {_ACC} a JOIN s ON a.i = s.i) SELECT i, j, logged, round((y - min(y) OVER (PARTITION BY i)) / (max(y) OVER (PARTITION BY i) - min(y) OVER (PARTITION BY i)), 7) AS v FROM y")
+def minmax_auto_log(spark, sf):
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").cast("int").alias("i"), F.col("c_custkey").alias("j"), (F.abs("c_acctbal") + 1).alias("v"))
+    return tr.minmax_auto_log(c, "i").select("i", "j", "logged", r("v", 7).alias("v"))
+
+
+@query(f"SELECT w.i, w.k, CASE WHEN w.i % 5 <> 0 THEN w END AS w FROM {_W} w")
+def mask_mixers(spark, sf):
+    w, h = arithmetic(spark)
+    cells = rd.reconstruction(w, h).withColumn("v", F.when(F.col("i") % 5 != 0, F.col("v")))
+    return tr.mask_mixers(w, cells).select("i", "k", "w")
+
+
+@query()
+def latin_hypercube(spark, sf):
+    return s.latin_hypercube_points(spark, 50, [10.0, 20.0])
+
+
+@query(f"WITH d AS (SELECT s_suppkey, least(abs(lat - 33), abs(lat - 37), abs(lon + 105), abs(lon + 96)) AS q FROM {PLACES} WHERE lat BETWEEN 33 AND 37 AND lon BETWEEN -105 AND -96) SELECT s_suppkey FROM d WHERE q <= 0.16")
+def near_outline(spark, sf):
+    box = [(-105.0, 33.0), (-96.0, 33.0), (-96.0, 37.0), (-105.0, 37.0)]
+    inside = places(spark, sf).where("lat between 33 and 37 and lon between -105 and -96")
+    return spatial.near_outline(inside, "lon", "lat", "s_suppkey", box, 0.16, most=10**6).select("s_suppkey")
+
+
+@query()
+def selection_table(spark, sf):
+    rows = user_types(spark, sf)
+    ids = rows.select("id").withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
+    cells = rows.join(ids, "id").select("i", F.posexplode("x").alias("j", "v"))
+    return fz.selection_table(fz.sweep(rows, [2, 3], fz.Options(runs=4, max_iter=300)), cells)
+
+
 # Bins and pivots
 
 

@@ -141,3 +141,30 @@ def test_report(spark):
     assert rep.clusters.where("side = 'W'").count() == 20 and rep.ranking.where("share > 1.0000001").count() == 0
     total = rep.shares.groupBy("i", "j").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-6 and s <> 0").count()
     assert total == 0 and post.association(rep.shares).count() > 0
+
+
+def test_mixing_with_ratios_and_deltas():
+    w = np.random.default_rng(0).dirichlet([1, 1], 24)
+    h = np.array([[100.0, 2, 30], [5, 10, 20]])
+    x = w @ h
+    ratios = (x[:, 0] / x[:, 1])[:, None].copy()
+    x[:8, 1] = np.nan  # only the ratio tells about these
+    w2, h2, _, _ = K.mixing(x, 2, 1, 6000, ratios=ratios, ratio_pairs=[(0, 1)])
+    got = w2 @ h2
+    assert np.nanmax(np.abs(got[:8, 0] / got[:8, 1] / ratios[:8, 0] - 1)) < 0.3
+    d = np.array([[-3.0], [4.0]])
+    a = w * h[:, 0]
+    delta = (a / a.sum(axis=1, keepdims=True)) @ d
+    _, _, d2, _ = K.mixing(w @ h, 2, 0, 6000, deltas=delta, delta_columns=[0])
+    assert d2.shape == (2, 1) and abs(np.ptp(d2)) > 1
+
+
+def test_selection_and_cached_sweep(spark, tmp_path):
+    x = frame(spark, sources(2))
+    o = fz.Options(runs=3, max_iter=200)
+    a = fz.sweep_cached(x, [2], str(tmp_path), o=o).first()
+    b = {r.k: r.fit for r in fz.sweep_cached(x, [2, 3], str(tmp_path), o=o).collect()}
+    assert b[2] == a.fit and set(b) == {2, 3}
+    cells = x.select(F.col("id").alias("i"), F.posexplode("x").alias("j", "v"))
+    got = {r.k: r for r in fz.selection_table(fz.sweep(x, [2, 3], o), cells).collect()}
+    assert got[2].r2 > 0.99 and max(r.fit for r in got.values()) == 1.0

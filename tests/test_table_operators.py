@@ -115,3 +115,17 @@ def test_space(spark):
 def test_empty_frames(spark):
     e = spark.createDataFrame([], "i int, v double")
     assert tr.minmax(e, ["v"]).count() == 0 and wn.slopes(e, "v", "i").count() == 0 and rd.value_counts(e, "v").count() == 0
+
+
+def test_points_names_and_axes(spark):
+    from sigmill.functions import scalar as sc
+
+    p = sc.latin_hypercube_points(spark, 20, [21.0, 41.0]).collect()
+    assert sorted(int((r.p0 - 1) * 20 / 20) for r in p) == list(range(20)) and sorted(int((r.p1 - 1) * 20 / 40) for r in p) == list(range(20))
+    q = sc.random_points(spark, 100, [5.0])
+    assert q.where("p0 < 1 or p0 > 5").count() == 0
+    assert tr.lonlat_columns(spark.createDataFrame([(1, 2, 3)], "Name int, Latitude int, lon_deg int")) == ("lon_deg", "Latitude")
+    assert tr.axis_order((3, 5, 4), (4, 3, 5)) == [2, 0, 1]
+    with pytest.raises(ValueError):
+        tr.axis_order((3, 5), (4, 3))
+    assert len(spatial.densified([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], 0.25)) == 4 + 4 + 6
