@@ -173,7 +173,7 @@ def moving_window_max(spark, sf):
     return wn.neighbourhood(days(spark, sf), "v", "d", 2, F.max).select("d", r("near", 4).alias("near"))
 
 
-@query("WITH c AS (SELECT CAST(user_id % 12 AS INTEGER) AS i, day(ts) AS j, sum(value) AS v FROM events GROUP BY 1, 2) SELECT a.i, a.j, round(avg(b.v), 4) AS near FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2")
+@query("WITH c AS (SELECT CAST(user_id % 12 AS INTEGER) AS i, CAST(day(ts) AS INTEGER) AS j, sum(value) AS v FROM events GROUP BY 1, 2) SELECT a.i, a.j, round(avg(b.v), 4) AS near FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2")
 def moving_window_2d(spark, sf):
     c = t(spark, sf, "events").groupBy((F.col("user_id") % 12).cast("int").alias("i"), F.dayofmonth("ts").alias("j")).agg(F.sum("value").alias("v"))
     return wn.neighbourhood_nd(c, ["i", "j"]).select("i", "j", r("near", 4).alias("near"))
@@ -590,7 +590,7 @@ def isotope_roundtrip(spark, sf):
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(s.isotope_delta("c", 0.011, "l_extendedprice")).alias("delta"), r("c").alias("conc"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS month, round(100 * power(1 + 0.5 * 0.02 * i, 1 / 0.5), 7) AS hyperbolic, round(100 * exp(-0.02 * i), 7) AS exponential, round(100 * (1 + 0.02 * i), 7) AS harmonic, round(power(100.0 + i, 0.5) / (0.5 * 0.02) * (power(100.0 + i, 0.5) - power((100.0 + i) / 1000, 0.5)), 5) AS eur_hyperbolic, round((100.0 + i) / 0.02, 6) AS eur_exponential, round((100.0 + i) / 0.02 * ln(10000), 5) AS eur_harmonic FROM range(0, 60) a(i)")
+@query("SELECT CAST(i AS INTEGER) AS month, round(100 * power(1 + 0.5 * 0.02 * i, 1 / 0.5), 7) AS hyperbolic, round(100 * exp(-0.02 * i), 7) AS exponential, CAST(round(100 * (1 + 0.02 * i), 7) AS DOUBLE) AS harmonic, round(power(100.0 + i, 0.5) / (0.5 * 0.02) * (power(100.0 + i, 0.5) - power((100.0 + i) / 1000, 0.5)), 5) AS eur_hyperbolic, round((100.0 + i) / 0.02, 6) AS eur_exponential, round((100.0 + i) / 0.02 * ln(10000), 5) AS eur_harmonic FROM range(0, 60) a(i)")
 def decline_curve(spark, sf):
     d = spark.range(60).select(F.col("id").cast("int").alias("month"), (100.0 + F.col("id")).alias("q0"))
     return d.select("month", r(s.decline_hyperbolic("month", 100, 0.02, 0.5), 7).alias("hyperbolic"), r(s.decline_exponential("month", 100, 0.02), 7).alias("exponential"), r(s.decline_harmonic("month", 100, 0.02), 7).alias("harmonic"), r(s.recovery_hyperbolic("q0", 0.02, 0.5), 5).alias("eur_hyperbolic"), r(s.recovery_exponential("q0", 0.02)).alias("eur_exponential"), r(s.recovery_harmonic("q0", 0.02), 5).alias("eur_harmonic"))
