@@ -279,8 +279,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
 def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; repeated rows of a kept doc_id stay as one."""
     found = near_components(docs, shingle, bands, rows, threshold, block)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_is")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone_doc_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_doc_id"]), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 

@@ -67,19 +67,20 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def poisson_mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17, most_sources: int = MAX_BROADCAST) -> DataFrame:
-    """docs' columns and copy (from 0), rate, shuffle_key: each row by its Poisson count, globally shuffled."""
-    own = docs.columns
+    """docs' columns and copy (from 0), rate, shuffle_key, which replace columns of these names: each row by its Poisson
+    count, globally shuffled."""
+    own = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
     rates = source_rates(docs.select("source"), weights, temperature, epochs)
-    cdf = rates.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    cdf = rates.select(F.col("source").alias("of"), F.col("rate"), poisson_cdf(F.col("rate")).alias("cdf"))
     if rates.limit(most_sources + 1).count() <= most_sources:  # checked: at most so many rows
         cdf = F.broadcast(cdf)
-    u = uniform(seed, F.col("doc_id"))
-    drawn = docs.join(cdf, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", u)
-    drawn = drawn.withColumn("_n", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
-    copies = drawn.where("_n > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"), F.col("_rate").alias("rate"))
-    key = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.col("copy").cast("string")).cast("binary"))
+    rows = docs.select(F.struct(*own).alias("row"), "source", uniform(seed, F.col("doc_id")).alias("u"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    drawn = rows.join(cdf, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", F.size(F.filter("cdf", lambda c: c < F.col("u"))))
+    copies = drawn.where("times > 0").select("row", "id", "rate", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    key = F.md5(F.concat(F.lit(f"{seed}/"), F.col("id"), F.lit("/"), F.col("copy").cast("string")).cast("binary"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.withColumn("shuffle_key", key).repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = copies.withColumn("shuffle_key", key).repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in own], "copy", "rate", "shuffle_key")
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

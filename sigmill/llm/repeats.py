@@ -254,8 +254,8 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
     return run
 
 
-def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512) -> DataFrame:
-    """docs' columns under their names in struct ``row``, k, tag, text (null as empty) and spans: the repeated windows' (first, n), null if none."""
+def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512, keep_rows: bool = False) -> DataFrame:
+    """k, tag, text (null as empty), spans (the repeated windows' (first, n), null if none) and, with keep_rows, docs' columns in struct ``row``."""
     small_batches(docs.sparkSession)
     rows = keyed(docs)
     runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, place long")
@@ -279,7 +279,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_b
         many = materialize(single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg"))
         parts = parts.union(single.join(many, ["mh", "dg"]).select("k", "place"))
     spans = parts.groupBy("k", tag.alias("tag")).agg(F.collect_list(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
-    if set(docs.columns) <= {"doc_id", "text"}:  # the same columns as above, so that one exchange of the texts serves both joins
+    if not keep_rows:  # the same columns as above, so that one exchange of the texts serves both joins
         return texts.join(spans, ["k", "tag"], "left")
     whole = docs.select(F.struct("*").alias("row")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("row.text", F.lit("")).alias("text"))
     return whole.withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 44)).join(spans, ["k", "tag"], "left")

@@ -107,7 +107,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 512) -> DataFrame:
     """docs with each text's repeated strings removed and the other columns unchanged; null texts become empty."""
-    found = repeated_windows(docs, "bytes", length, gram, count_strings(length), hot)
+    found = repeated_windows(docs, "bytes", length, gram, count_strings(length), hot, keep_rows=True)
     out = found.select("text", "spans", "row").mapInArrow(_kept(length, True), f"row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, {FIELDS}, kept string")
     return out.select(*[(F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 

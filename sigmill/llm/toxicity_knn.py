@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, most_term
 
 
 def score(docs: DataFrame, model: Model, evidence: int = 4) -> DataFrame:
-    """docs' columns and score, predicted, evidence (array of doc_id), cosines."""
+    """docs' columns and score, predicted, evidence (array of doc_id), cosines, which replace columns of these names."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Model, evidence: int = 4) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("row"))
     kind = whole.schema["row"].dataType.simpleString()
     scored = whole.select(F.col("row.text").alias("text"), "row").mapInArrow(run, f"row {kind}, score double, predicted int, evidence array<long>, cosines array<double>")
-    return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns], "score", "predicted", "evidence", "cosines")
+    return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted", "evidence", "cosines")], "score", "predicted", "evidence", "cosines")
 
 
 def learnable(labels: DataFrame, column: str = "toxic") -> DataFrame:
