@@ -160,7 +160,7 @@ def _scan(shingle, bands, rows):
                 keys = band_keys(sketches(h, soff, bands * rows), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
                 maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * MAP + 1, MAP), pa.int32()), pa.array(bit_maps(h, soff).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(soff)), pa.array(d[0]), pa.array(d[1]), lists, maps], ["id", "n", "d1", "d2", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(soff)), pa.array(d[0]), pa.array(d[1]), lists, maps], ["id", "th", "n", "d1", "d2", "bands", "bits"])
 
     return run
 
@@ -212,7 +212,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) ->
     got = wanted.mapInArrow(_marks(bits), "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()  # at most bits / 64 rows
     marks[got["word"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
     shared = texts.sparkSession.sparkContext.broadcast(marks)
-    sets = materialize(texts.mapInArrow(_sets(shingle, shared, bits), "id long, grams array<long>").join(wanted, "id"))
+    sets = materialize(texts.select("id", "text").mapInArrow(_sets(shingle, shared, bits), "id long, grams array<long>").join(wanted, "id"))
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("same"))
@@ -239,7 +239,8 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     """(scanned, classes, roots): id, n, d1, d2 of each row; the node of each digest; the root of each node that is none."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>, bits array<long>"))
+    texts = texts.withColumn("th", F.xxhash64("text"))
+    scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, th long, n long, d1 long, d2 long, bands array<long>, bits array<long>"))
     classes = materialize(scanned.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node")))
     nodes = scanned.where("n > 0").join(classes, ["d1", "d2"]).where("id = node")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -267,21 +268,27 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     return scanned, classes, roots
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
-    scanned, classes, roots = _placed(docs, shingle, bands, rows, threshold, block)
-    out = scanned.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots, "node", "left")
+def _components(docs: DataFrame, *parameters) -> DataFrame:
+    """One row a row of docs: doc_id, th (the text's hash), n_shingles, component_id, kept."""
+    scanned, classes, roots = _placed(docs, *parameters)
+    out = scanned.select("id", "th", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots, "node", "left")
     root = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
     real = lambda c: F.when(c != LAST, c)
-    return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(root).alias("component_id"), (F.col("id") == root).alias("kept"))
+    return out.select(real(F.col("id")).alias("doc_id"), "th", F.col("n").alias("n_shingles"), real(root).alias("component_id"), (F.col("id") == root).alias("kept"))
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+    return _components(docs, shingle, bands, rows, threshold, block).drop("th")
 
 
 def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; repeated rows of a kept doc_id stay as one."""
-    found = near_components(docs, shingle, bands, rows, threshold, block)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone_doc_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_doc_id"]), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """docs without the rows whose component has a smaller doc_id; of repeated rows that would stay, one does."""
+    found = materialize(_components(docs, shingle, bands, rows, threshold, block))
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone_doc_id"), F.col("th").alias("__gone_th")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__gone_doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__gone_th"])
+    kept = docs.join(gone, same, "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
