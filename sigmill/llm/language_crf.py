@@ -53,13 +53,18 @@ class Chain:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": np.zeros((0, len(self.labels)))}
 
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Feature rows of words, concatenated, and where each word's begin."""
-        get, flat, starts = self.index.get, [], [0]
+    def own(self, word: str) -> list[int]:
+        """The word's feature rows."""
+        out = [i for f in features(word) if (i := self.index.get(f)) is not None]
+        if (i := self.lexicon.get(word)) is not None:
+            out.append(i)
+        return out
+
+    def rows(self, words: list[str], memo: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Feature rows of words, concatenated, and where each word's begin; memo: those of known words."""
+        flat, starts = [], [0]
         for w in words:
-            flat += [i for f in features(w) if (i := get(f)) is not None]
-            if (i := self.lexicon.get(w)) is not None:
-                flat.append(i)
+            flat += self.own(w) if memo is None else memo[w]
             starts.append(len(flat))
         return np.array(flat, np.int64), np.array(starts)
 
@@ -133,7 +138,7 @@ def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarr
     return out
 
 
-def train(samples: dict[str, list[list[str]]], epochs: int = 12, rate: float = 0.3, batch: int = 32, seed: int = 5) -> Chain:
+def train(samples: dict[str, list[list[str]]], epochs: int = 8, rate: float = 0.3, batch: int = 32, seed: int = 5) -> Chain:
     """samples: windows of words by label."""
     labels = sorted(samples)
     k = len(labels)
@@ -147,6 +152,7 @@ def train(samples: dict[str, list[list[str]]], epochs: int = 12, rate: float = 0
     lexicon = {w: len(index) + c.most_common(1)[0][0] for w, c in sorted(uses.items()) if sum(c.values()) > 2 and c.most_common(1)[0][1] >= 0.8 * sum(c.values())}
     size = len(index) + k
     chain = Chain(labels, index, lexicon, np.zeros((size, k)), np.zeros((k, k)))
+    memo = {w: chain.own(w) for w in uses}
     rng = np.random.default_rng(seed)
     pool = [(y, words) for y, name in enumerate(labels) for words in samples[name] if words]
     squares, move_squares = np.full((size, k), 1e-8), np.full((k, k), 1e-8)
@@ -166,7 +172,7 @@ def train(samples: dict[str, list[list[str]]], epochs: int = 12, rate: float = 0
                     words += ws
                     gold += [yy] * len(ws)
                 lengths.append(len(words) - n)
-            flat, starts = chain.rows(words)
+            flat, starts = chain.rows(words, memo)
             sums = np.zeros((len(flat) + 1, k))
             np.cumsum(chain.weights[flat], axis=0, out=sums[1:])
             score = sums[starts[1:]] - sums[starts[:-1]]
