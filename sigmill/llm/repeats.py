@@ -34,6 +34,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one set of arrays covers; a longer document is taken alone.
 STEP = 1 << 20
+#: One window's occurrences are spread over so many keys where they're joined with its count.
+SALTS = 16
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -276,8 +278,9 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_b
     parts = parts.union(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, place long"))
     if found.where("compare and hot").limit(1).count():
         single = texts.join(lists("compare and hot"), ["k", "tag"]).select("k", "text", "runs").mapInArrow(_single(unit, window), "mh long, dg long, k long, place long")
-        many = materialize(single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg"))
-        parts = parts.union(single.join(many, ["mh", "dg"]).select("k", "place"))
+        many = single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = single.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
+        parts = parts.union(salted.join(many, ["mh", "dg", "salt"]).select("k", "place"))  # in one plan with the texts' exchange, which it reuses
     spans = parts.groupBy("k", tag.alias("tag")).agg(F.collect_list(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
     if not keep_rows:  # the same columns as above, so that one exchange of the texts serves both joins
         return texts.join(spans, ["k", "tag"], "left")
