@@ -8,10 +8,10 @@ shingles (64-bit hashes); with fewer words the whole sequence is the only one. T
    shingle in one of bands * rows bins and keeps the bin's minimum; each empty bin copies the first full bin of its
    own fixed random order (optimal densification), so that empty bins of two sets agree as often as full ones.
    At similarity 0.8, 32 bands of 5 rows miss a pair with probability 3e-6.
-2. Equal sets (copies) are one node, the smallest doc_id, whatever their number.
+2. Equal sets (copies) are one node, whatever their number and ids, named by the hash of one of their texts.
 3. A bucket of m nodes gives m - 1 candidates: its smallest node is the hub of a star. Hubs come from map-side
    minima and are joined back, so no task needs a whole bucket.
-4. Candidates' sets are made from the texts again, in a pass that a bit map of the wanted ids (of bounded size) lets
+4. Candidates' sets are made from the texts again, in a pass that a bit map of the wanted nodes (of bounded size) lets
    skip most texts, and joined to the pairs. Texts themselves never travel.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 6. A star can miss a link between two of its rays. The rays of buckets that still hold more than one component are
@@ -20,8 +20,9 @@ shingles (64-bit hashes); with fewer words the whole sequence is the only one. T
    confirmed as in 4, and their links join components.
 
 Null and empty texts have no set and are linked with nothing. doc_id names a document: repeated rows get the same
-component, and an id with two texts has the links of both. A null doc_id counts as larger than any other; its
-component_id is null if no other id is reachable. An empty table gives an empty result.
+component, and an id with two texts has the links of both. A null doc_id names nothing: such rows are told apart by
+their text. A component_id is the smallest doc_id of the component, null if all its rows have none; then the text with
+the smallest hash is the one kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ from .repeats import STEP, Sums, mixed, word_units
 SHINGLE, BANDS, ROWS, THRESHOLD = 4, 32, 5, 80
 #: 64-bit words of a set's bit map.
 MAP = 32
-#: Stands for a null doc_id: larger than any other.
-LAST = 2**63 - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -188,12 +187,18 @@ def _marks(bits):
 
 
 def _sets(shingle, marks, bits):
+    """(id, grams) of the marked ids, each once a task."""
+
     def run(batches):
-        wanted = marks.value
+        wanted, seen = marks.value, set()
         for batch in batches:
-            at = _slot(batch.column(0).to_numpy(), bits)
-            hit = wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            ids = batch.column(0).to_numpy()
+            at = _slot(ids, bits)
+            hit = (wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for i in np.flatnonzero(hit).tolist():
+                hit[i] = ids[i] not in seen
+                seen.add(ids[i])
+            batch = batch.filter(pa.array(hit))
             off, raw = text_buffer(batch.column(1))
             for i, j in slices(off, STEP):
                 h, soff = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
@@ -204,7 +209,7 @@ def _sets(shingle, marks, bits):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: (id, text)."""
+    """The pairs (a, b) whose full sets are similar enough; texts: (id, text), where rows of one id have equal texts."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(wanted)
     bits = 1 << min(max(16 * wanted.count(), 64).bit_length(), MOST_BITS.bit_length() - 1)
@@ -212,7 +217,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) ->
     got = wanted.mapInArrow(_marks(bits), "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()  # at most bits / 64 rows
     marks[got["word"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
     shared = texts.sparkSession.sparkContext.broadcast(marks)
-    sets = materialize(texts.select("id", "text").mapInArrow(_sets(shingle, shared, bits), "id long, grams array<long>").join(wanted, "id"))
+    sets = materialize(texts.select("id", "text").mapInArrow(_sets(shingle, shared, bits), "id long, grams array<long>").dropDuplicates(["id"]).join(wanted, "id"))
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("same"))
@@ -236,13 +241,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scanned, classes, roots): id, n, d1, d2 of each row; the node of each digest; the root of each node that is none."""
+    """(scanned, classes, roots): id, th, n, d1, d2 of each row; the node of each digest; the root of each node that is none."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = texts.withColumn("th", F.xxhash64("text"))
-    scanned = materialize(texts.mapInArrow(_scan(shingle, bands, rows), "id long, th long, n long, d1 long, d2 long, bands array<long>, bits array<long>"))
-    classes = materialize(scanned.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node")))
-    nodes = scanned.where("n > 0").join(classes, ["d1", "d2"]).where("id = node")
+    scanned = texts.mapInArrow(_scan(shingle, bands, rows), "id long, th long, n long, d1 long, d2 long, bands array<long>, bits array<long>")
+    scanned = materialize(scanned.withColumn("at", F.monotonically_increasing_id()))
+    texts = texts.select(F.col("th").alias("id"), "text")  # a node is found again by its text, which ids and their nulls don't name
+    first = scanned.where("n > 0").groupBy("d1", "d2").agg(F.min("at").alias("at")).select("at")
+    classes = materialize(scanned.select("at", "th", "d1", "d2").join(first, "at").select("d1", "d2", "at", F.col("th").alias("node")))
+    nodes = scanned.select("at", "n", "bands", "bits").join(classes.select("at", "node"), "at")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
     buckets = materialize(keys.join(materialize(shared), "key").select("key", "hub", "node", "n").distinct())
@@ -253,7 +261,7 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", "m")
     left = placed.join(materialize(split), "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(scanned.select(F.col("id").alias("node"), "bits").dropDuplicates(["node"]), "node")
+    left = left.join(nodes.select("node", "bits"), "node")
     left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "bits")
     pairs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
     pairs = materialize(pairs)
@@ -265,16 +273,24 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
             higher = components(new.join(ra, "a", "left").join(rb, "b", "left").select(up("a"), up("b")))
             above = higher.select(F.col("node").alias("root"), F.col("root").alias("top"))
             roots = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(higher)
-    return scanned, classes, roots
+    return scanned, classes.select("d1", "d2", "node"), roots
 
 
 def _components(docs: DataFrame, *parameters) -> DataFrame:
     """One row a row of docs: doc_id, th (the text's hash), n_shingles, component_id, kept."""
     scanned, classes, roots = _placed(docs, *parameters)
-    out = scanned.select("id", "th", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots, "node", "left")
-    root = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
-    real = lambda c: F.when(c != LAST, c)
-    return out.select(real(F.col("id")).alias("doc_id"), "th", F.col("n").alias("n_shingles"), real(root).alias("component_id"), (F.col("id") == root).alias("kept"))
+    found = scanned.where("n > 0").select("id", "th", "n", "d1", "d2").join(classes, ["d1", "d2"]).join(roots, "node", "left")
+    found = materialize(found.select("id", "th", "n", F.coalesce("root", "node").alias("root")))
+    several = materialize(found.where("id is not null").groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("id", "a"))
+    if several.limit(1).count():  # one document with different texts joins their components
+        higher = components(found.join(several, "id").select("a", F.col("root").alias("b")))
+        found = found.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+        found = materialize(found.select("id", "th", "n", F.coalesce("top", "root").alias("root")))
+    least = materialize(found.groupBy("root").agg(F.min("id").alias("component_id"), F.min("th").alias("first")))
+    kept = F.when(F.col("component_id").isNull(), F.col("th") == F.col("first")).otherwise(F.col("id").eqNullSafe(F.col("component_id")))
+    found = found.join(least, "root").select("id", "th", "n", "component_id", kept.alias("kept"))
+    alone = scanned.where("n = 0").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(alone).select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
@@ -283,7 +299,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
 
 
 def representatives(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, block: int = 2048) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of repeated rows that would stay, one does."""
+    """docs without the rows that aren't kept; of repeated rows that would stay, one does."""
     found = materialize(_components(docs, shingle, bands, rows, threshold, block))
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone_doc_id"), F.col("th").alias("__gone_th")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(gone["__gone_doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__gone_th"])

@@ -69,6 +69,24 @@ def test_one_row_of_each_group_stays(odd_docs):
     assert 1 in ids and not {2, 3} & set(ids) and {4, 5, 6} <= set(ids)
 
 
+def test_rows_without_id_are_told_apart_by_text(spark):
+    r = random.Random(5)
+    fresh = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+
+    def near(words):
+        return " ".join([*words[:50], "other", *words[51:]])
+
+    a, x, y, z, p, q = (fresh() for _ in range(6))
+    join = " ".join
+    rows = [(1, join(a)), (None, near(a)), (None, join(x)), (None, join(y)), (None, near(y)), (None, join(z)), (None, join(z)), (None, ""), (2, join(p)), (2, join(q)), (3, near(q)), (4, near(p))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((g.doc_id, g.component_id, g.kept) for g in near_components(docs, 5).collect())
+    assert got == Counter({(1, 1, True): 1, (None, 1, False): 1, (None, None, True): 5, (None, None, False): 1, (2, 2, True): 2, (3, 2, False): 1, (4, 2, False): 1})
+    left = Counter(tuple(g) for g in representatives(docs).collect())
+    one = (left.keys() & {(None, join(y)), (None, near(y))}).pop()
+    assert left == Counter([(1, join(a)), (None, join(x)), one, (None, join(z)), (None, ""), (2, join(p)), (2, join(q))])
+
+
 def test_empty_table(no_docs):
     assert near_components(no_docs).count() == 0
 
