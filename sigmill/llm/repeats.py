@@ -5,7 +5,7 @@ A document is a sequence of units (words or bytes). Each window of ``window`` un
 super-k-mer of n windows over n - 1 + window units. Equal windows have equal minimisers at equal offsets, so they
 lie in runs of the same bucket (the minimiser's hash), and never twice in one run. That gives these steps:
 
-1. Runs are listed as four longs (minimiser, digest of the run, document, place); no text travels. Only buckets
+1. Runs are listed as five longs (minimiser, digest of the run, document, text's hash, place); no text travels. Only buckets
    with two or more runs can hold a repeat; map-side sums find them and a join, which AQE may split, keeps those.
 2. Runs that agree in minimiser and digest (128 bits together) are copies: all their windows repeat. They're
    counted map-side, so a passage that fills a third of the table is one row a map task. One of them goes on.
@@ -13,7 +13,7 @@ lie in runs of the same bucket (the minimiser's hash), and never twice in one ru
    ``count_bucket`` sorts the windows exactly. A bucket never has more than ``hot`` different runs: beyond that its
    windows are counted one by one, keyed by minimiser and window digest, again with map-side sums.
 
-Rows are known by doc_id and 20 bits of the text's hash, so repeated rows and different texts under one id work.
+Rows are known by doc_id and the text's 64-bit hash, so repeated rows and different texts under one id or none work.
 """
 
 from __future__ import annotations
@@ -137,13 +137,12 @@ def find_runs(u: np.ndarray, off: np.ndarray, window: int, gram: int):
     return text, a - off[text], count, g[p].view(np.int64), digest.view(np.int64)
 
 
-# A place is 20 bits of the text's hash, 33 bits of first window and 10 bits of windows - 1.
-def place(tag, first, count):
-    return tag << 43 | first << 10 | (count - 1)
+# A place is the first window above 10 bits of windows - 1.
+def place(first, count):
+    return first << 10 | (count - 1)
 
 
-TAG = "shiftrightunsigned(place, 43)"
-FIRST = "(shiftright(place, 10) & 8589934591)"
+FIRST = "shiftright(place, 10)"
 COUNT = "((place & 1023) + 1)"
 
 
@@ -152,35 +151,35 @@ def _scan(unit: str, window: int, gram: int):
         for batch in batches:
             off, raw = text_buffer(batch.column(2))
             k = batch.column(0).to_numpy()
-            tag = batch.column(1).to_numpy().view(U) >> U(44)
+            th = batch.column(1).to_numpy()
             for i, j in slices(off, STEP):
                 u, uoff = UNITS[unit](raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 t, a, n, mh, dg = find_runs(u, uoff, window, gram)
                 if len(t):
-                    yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(dg), pa.array(k[i:j][t]), pa.array(place(tag[i:j][t].astype(np.int64), a, n))], ["mh", "dg", "k", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(dg), pa.array(k[i:j][t]), pa.array(th[i:j][t]), pa.array(place(a, n))], ["mh", "dg", "k", "th", "place"])
 
     return run
 
 
 def _cut(unit: str, window: int):
-    """Rows (tag, k, text, runs of (mh, place)) to packed runs."""
+    """Rows (k, th, text, runs of (mh, place)) to packed runs."""
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             size = 0
-            for k, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for k, th, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 words = raw.split() if unit == "words" else None
                 for r in runs:
-                    first, n = (r["place"] >> 10) & (2**33 - 1), (r["place"] & 1023) + 1
+                    first, n = r["place"] >> 10, (r["place"] & 1023) + 1
                     piece = raw[first : first + n - 1 + window] if words is None else b" ".join(words[first : first + n - 1 + window])
-                    for c, v in zip(out, (r["mh"], k, r["place"], piece)):
+                    for c, v in zip(out, (r["mh"], k, th, r["place"], piece)):
                         c.append(v)
                     size += len(piece)
                 if size > 4_000_000:
                     yield _packed(out)
-                    out, size = ([], [], [], []), 0
+                    out, size = ([], [], [], [], []), 0
             if out[0]:
                 yield _packed(out)
 
@@ -188,34 +187,33 @@ def _cut(unit: str, window: int):
 
 
 def _packed(out):
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["mh", "k", "place", "packed"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["mh", "k", "th", "place", "packed"])
 
 
 def _single(unit: str, window: int):
-    """Rows (k, text, runs of (mh, place)) to (mh, digest, k, place) of single windows."""
+    """Rows (k, th, text, runs of (mh, place)) to (mh, digest, k, th, place) of single windows."""
 
     def run(batches):
         for batch in batches:
-            for k, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for k, th, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 u, _ = UNITS[unit](raw, np.array([0, len(raw)]))
                 sums = Sums(u)
                 places, mh = np.array([r["place"] for r in runs]), np.array([r["mh"] for r in runs])
                 n = (places & 1023) + 1
                 ends = np.cumsum(n)
-                a = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat((places >> 10) & (2**33 - 1), n)
+                a = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(places >> 10, n)
                 digest = mixed(sums.of(a, a + window), 9).view(np.int64)
-                tag = np.repeat(places >> 43 & (2**20 - 1), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mh, n)), pa.array(digest), pa.array(np.full(len(a), k, np.int64)), pa.array(place(tag, a, 1))], ["mh", "dg", "k", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mh, n)), pa.array(digest), pa.array(np.full(len(a), k, np.int64)), pa.array(np.full(len(a), th, np.int64)), pa.array(place(a, 1))], ["mh", "dg", "k", "th", "place"])
 
     return run
 
 
 def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
-    """Whole buckets of about most bytes at a time to (k, place) of the windows that repeat in them."""
+    """Whole buckets of about most bytes at a time to (k, th, place) of the windows that repeat in them."""
 
     def settle(held):
-        mh, k, places, packed = (np.concatenate([h[i] for h in held]) if i < 3 else [x for h in held for x in h[3]] for i in range(4))
+        mh, k, th, places, packed = (np.concatenate([h[i] for h in held]) if i < 4 else [x for h in held for x in h[4]] for i in range(5))
         n = (places & 1023) + 1
         dup = count_bucket(mh, packed, n)  # for each window, in order, whether it repeats in its bucket
         if not dup.any():
@@ -229,13 +227,13 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
         keep = dup[heads]
         heads, length = heads[keep], length[keep]
         r = row[heads]
-        return pa.RecordBatch.from_arrays([pa.array(k[r]), pa.array(place(places[r] >> 43 & (2**20 - 1), (places[r] >> 10 & (2**33 - 1)) + step[heads], length))], ["k", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(k[r]), pa.array(th[r]), pa.array(place((places[r] >> 10) + step[heads], length))], ["k", "th", "place"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             mh = batch.column(0).to_numpy()
-            rows = (mh, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist())
+            rows = (mh, *(batch.column(c).to_numpy() for c in (1, 2, 3)), batch.column(4).to_pylist())
             i = 0
             while i < len(mh):
                 if size > most and held and held[-1][0][-1] != mh[i]:  # a boundary between buckets
@@ -244,7 +242,7 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
                     held, size = [], 0
                 j = i
                 while j < len(mh) and (size <= most or mh[j] == mh[max(j - 1, i)] and (j > i or not held or held[-1][0][-1] == mh[j])):
-                    size += len(rows[3][j])
+                    size += len(rows[4][j])
                     j += 1
                 if j == i:
                     continue
@@ -257,35 +255,34 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
 
 
 def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512, keep_rows: bool = False) -> DataFrame:
-    """k, tag, text (null as empty), spans (the repeated windows' (first, n), null if none) and, with keep_rows, docs' columns in struct ``row``."""
+    """k, th, text (null as empty), spans (the repeated windows' (first, n), null if none) and, with keep_rows, docs' columns in struct ``row``."""
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, place long")
+    runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, th long, place long")
     shared = materialize(runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh"))  # a table, so that AQE may split hot buckets in the join
     alive = materialize(runs.join(shared, "mh"))
-    copies = materialize(alive.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "place")).alias("rep")))
+    copies = materialize(alive.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "th", "place")).alias("rep")))
     kinds = materialize(copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     known = alive.join(copies, ["mh", "dg"]).join(kinds, "mh", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
-    found = materialize(known.select("mh", "k", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.xxhash64("k", "place") == F.col("rep")))).alias("compare"), (F.col("kinds") > hot).alias("hot")).where("copied or compare"))
-    tag = F.expr(TAG)
-    texts = rows.select("k", F.shiftrightunsigned("th", 44).alias("tag"), "text")
-    parts = found.where("copied").select("k", "place")
+    found = materialize(known.select("mh", "k", "th", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.xxhash64("k", "th", "place") == F.col("rep")))).alias("compare"), (F.col("kinds") > hot).alias("hot")).where("copied or compare"))
+    texts = rows.select("k", "th", "text")
+    parts = found.where("copied").select("k", "th", "place")
 
     def lists(which):
-        return found.where(which).groupBy("k", tag.alias("tag")).agg(F.collect_list(F.struct("mh", "place")).alias("runs"))
+        return found.where(which).groupBy("k", "th").agg(F.collect_list(F.struct("mh", "place")).alias("runs"))
 
-    packed = texts.join(lists("compare and not hot"), ["k", "tag"]).select("k", "text", "runs").mapInArrow(_cut(unit, window), "mh long, k long, place long, packed binary")
-    parts = parts.union(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, place long"))
+    packed = texts.join(lists("compare and not hot"), ["k", "th"]).select("k", "th", "text", "runs").mapInArrow(_cut(unit, window), "mh long, k long, th long, place long, packed binary")
+    parts = parts.union(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, th long, place long"))
     if found.where("compare and hot").limit(1).count():
-        single = texts.join(lists("compare and hot"), ["k", "tag"]).select("k", "text", "runs").mapInArrow(_single(unit, window), "mh long, dg long, k long, place long")
+        single = texts.join(lists("compare and hot"), ["k", "th"]).select("k", "th", "text", "runs").mapInArrow(_single(unit, window), "mh long, dg long, k long, th long, place long")
         many = single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = single.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
-        parts = parts.union(salted.join(many, ["mh", "dg", "salt"]).select("k", "place"))  # in one plan with the texts' exchange, which it reuses
-    spans = parts.groupBy("k", tag.alias("tag")).agg(F.collect_list(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
+        salted = single.withColumn("salt", F.pmod(F.xxhash64("k", "th"), F.lit(SALTS)).cast("int"))
+        parts = parts.union(salted.join(many, ["mh", "dg", "salt"]).select("k", "th", "place"))  # in one plan with the texts' exchange, which it reuses
+    spans = parts.groupBy("k", "th").agg(F.collect_list(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
     if not keep_rows:  # the same columns as above, so that one exchange of the texts serves both joins
-        return texts.join(spans, ["k", "tag"], "left")
+        return texts.join(spans, ["k", "th"], "left")
     whole = docs.select(F.struct("*").alias("row")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("row.text", F.lit("")).alias("text"))
-    return whole.withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 44)).join(spans, ["k", "tag"], "left")
+    return whole.withColumn("th", F.xxhash64("text")).join(spans, ["k", "th"], "left")
 
 
 def covered(spans, n: int, window: int) -> np.ndarray:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigmill.llm.suffix_dedup import refine_buckets, suffix_dedup, without_repeats
 from sigmill.llm.superkmer_dedup import superkmer_dedup
@@ -49,6 +50,18 @@ def test_kept_text_and_columns(odd_docs):
     assert superkmer_dedup(odd_docs).where("doc_id = 7").first().kept == "one two"
 
 
+def test_texts_without_id_that_agree_in_20_bits_of_their_hash(spark):
+    text = " || ' ' || ".join(f"concat('w{j}x', id)" for j in range(8))
+    some = spark.range(6000).selectExpr(f"{text} as text").selectExpr("text", "shiftrightunsigned(xxhash64(text), 44) as tag")
+    a, b = some.groupBy("tag").agg(F.sort_array(F.collect_list("text")).alias("texts")).where("size(texts) = 2").orderBy("tag").first().texts
+    rows = [(None, a), (1, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (512, 0):
+        got = Counter((r.doc_id, r.n_words, r.n_removed) for r in superkmer_dedup(docs, 5, 2, hot, keep_text=False).collect())
+        assert got == Counter([(None, 8, 8), (1, 8, 8), (None, 8, 0)])
+        assert Counter((r.doc_id, r.kept) for r in suffix_dedup(docs, 20, 8, hot).collect()) == Counter([(None, ""), (1, ""), (None, b)])
+
+
 def test_empty_table(no_docs):
     assert superkmer_dedup(no_docs).count() == 0 and suffix_dedup(no_docs).count() == 0
 
