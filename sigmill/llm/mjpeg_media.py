@@ -12,8 +12,11 @@ JPEG's tables are parsed. Scans whose tables have the constant-length property a
 any other single-component baseline scan by a bit-wise Huffman decoder with inverse DCT (block means).
 
 Shots. Frames' 16-bin sample histograms are compared with the frame before; a cut is where the L1 difference
-exceeds mean + 2 standard deviations of the differences in a window of 8 frames on each side and a floor of a
-quarter of the samples. Clips are the runs between cuts, timed at the file's frame rate.
+exceeds the other differences within 8 frames on each side, their median + 2 standard deviations (1.4826 times the
+median absolute deviation), and reaches a floor of a quarter of the samples. With fewer than 8 others, as in clips of
+9 frames or fewer, the floor alone decides. Cuts don't hide each other while fewer than half of the differences in a
+window are cuts; where more are as large, it counts as motion. Clips are the runs between cuts, timed at the file's
+frame rate.
 
 Null and empty payloads are 192 spaces, one frame. Work is row by row, no shuffle; memory follows the longest
 payload. Damaged files raise ValueError.
@@ -254,6 +257,13 @@ def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
     return [slow[i] if i in slow else next(it) for i in range(len(jpegs))]
 
 
+def _medians(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The median of the count smallest values of each row."""
+    x = np.sort(x, axis=1)
+    row = np.arange(len(x))
+    return (x[row, (count - 1) // 2] + x[row, count // 2]) / 2
+
+
 def shot_cuts(frames: np.ndarray, radius: int = 8) -> np.ndarray:
     """Indices of frames that begin a shot (0 among them)."""
     n = len(frames)
@@ -261,11 +271,17 @@ def shot_cuts(frames: np.ndarray, radius: int = 8) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     d = np.abs(np.diff(counts, axis=0)).sum(axis=1).astype(float)
-    low, high = np.maximum(np.arange(n - 1) - radius, 0), np.minimum(np.arange(n - 1) + radius + 1, n - 1)
-    s, s2 = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
-    m = (s[high] - s[low]) / (high - low)
-    sd = np.sqrt(np.maximum((s2[high] - s2[low]) / (high - low) - m * m, 0))
-    return np.concatenate([[0], np.flatnonzero((d > m + 2 * sd) & (d >= frames.shape[1] / 4)) + 1])
+    at = np.flatnonzero(d >= frames.shape[1] / 4)
+    others = np.minimum(at, radius) + np.minimum(n - 2 - at, radius)
+    many = others >= radius
+    near, count = at[many], others[many]
+    edge = np.full(radius, np.inf)  # sorts behind the others and isn't counted
+    window = np.concatenate([edge, d, edge])[near[:, None] + np.delete(np.arange(2 * radius + 1), radius)]
+    m = _medians(window, count)
+    sd = 1.4826 * _medians(np.abs(window - m[:, None]), count)
+    cut = np.ones(len(at), bool)
+    cut[many] = d[near] > m + 2 * sd
+    return np.concatenate([[0], at[cut] + 1])
 
 
 def read_payload(avi: bytes) -> tuple[bytes, float, np.ndarray]:

@@ -40,6 +40,28 @@ def test_shots_at_changes():
     assert M.shot_cuts(frames).tolist() == [0, 20, 35]
 
 
+def test_shots_of_short_and_fast_clips():
+    def cuts(*shots):
+        return M.shot_cuts(np.concatenate([np.full((n, 192), v) for n, v in shots]).astype(np.uint8)).tolist()
+
+    assert cuts((1, 0), (1, 255)) == [0, 1] and cuts((2, 7)) == [0]
+    assert cuts((1, 0), (1, 255), (1, 0)) == [0, 1, 2] and cuts((3, 0), (3, 255)) == [0, 3]
+    assert cuts((10, 0), (4, 255), (4, 0), (4, 255), (10, 0)) == [0, 10, 14, 18, 22]
+    assert cuts((10, 0), (2, 255), (2, 0), (2, 255), (2, 0), (2, 255), (10, 0)) == [0, 10, 12, 14, 16, 18, 20]
+    rng = np.random.default_rng(0)
+    noise = rng.integers(0, 256, (200, 192)).astype(np.uint8)
+    for cut in (1, 60, 199):  # also where the window is cut off by the clip's ends
+        both = np.concatenate([noise[:cut] // 16, noise[cut:]])
+        assert cut in M.shot_cuts(both).tolist()
+    d = np.abs(np.diff([np.bincount(f >> 4, minlength=16) for f in noise], axis=0)).sum(axis=1)
+    want = [0]
+    for i in range(199):  # one at a time
+        w = np.delete(d[max(0, i - 8) : i + 9], min(i, 8))
+        if d[i] >= 48 and d[i] > np.median(w) + 2 * 1.4826 * np.median(np.abs(w - np.median(w))):
+            want.append(i + 1)
+    assert M.shot_cuts(noise).tolist() == want
+
+
 def test_query_digests_and_clips(odd_docs, no_docs):
     got = M.media_digests(odd_docs).collect()
     assert len(got) == odd_docs.count()
