@@ -8,7 +8,8 @@ digests under a prefix, names the conversion record, and lists whether the sourc
 record's block is the page's visible text in UTF-8.
 
 Text: comments, scripts, styles and the head are dropped, block-level tags break lines, other tags vanish,
-character references are resolved, white space is collapsed, empty lines go.
+character references are resolved, white space is collapsed, empty lines go. A head without an end tag ends at the
+first text or element that can't be in a head; a script or style without one goes on to the page's end.
 
 Record ids are made from the source's id and the kind, so a task that runs again makes the same records. A record
 is row-local: no shuffle, memory follows the longest page. A null html is an empty page, a null url becomes
@@ -32,7 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import small_batches, table
 
 DATE = "2024-01-01T00:00:00Z"
-CUT = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template)\b[^>]*>.*?</\1\s*>|<(?:script|style|head)\b[^>]*>.*\Z", re.S | re.I)
+CUT = re.compile(
+    r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
+    r"|<head\b[^>]*>(?:(?!<body\b).)*?</head\s*>"
+    r"|<head\b[^>]*>(?:\s+|<!--.*?-->|<(title|script|style|noscript|noframes|template)\b[^>]*>.*?</\2\s*>|<(?:base|basefont|bgsound|link|meta)\b[^>]*>)*"
+    r"|<(?:script|style)\b[^>]*>.*\Z",
+    re.S | re.I,
+)
 #: Elements that break lines.
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")

@@ -107,6 +107,16 @@ def test_records_are_linked(spark):
     assert one.text == "One & two\nthree"
 
 
+def test_a_head_without_end_tag():
+    assert W.text_of("<html><head><title>T</title><body><p>text") == "text"
+    assert W.text_of("<HEAD lang=en>\n<meta charset=utf-8><!-- <body> --><script>'<p>'</script><style>p {}</style><link rel=x>\n<p>one<p>two") == "one\ntwo"
+    assert W.text_of("<head><title>T</title>bare text</html>") == "bare text"
+    assert W.text_of("<head><title>T</title><body>one</head>two") == "onetwo"
+    assert W.text_of("<head><script>'<body>'</script><title>T</title></head><body>text") == "text"
+    assert W.text_of("<head><title>T</title></head><header>h</header><p>text") == "h\ntext"
+    assert W.text_of("<head><title>T</title><script>var a") == "" == W.text_of("<style>p {}<p>text")
+
+
 def test_files_and_damage(spark):
     recs = [bytes(r.record) for r in W.responses(pages(spark)).collect()]
     assert list(W.split_records(b"".join(recs))) == recs
