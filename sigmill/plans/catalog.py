@@ -673,8 +673,7 @@ def kmeans_robust(spark, sf):
 
 @query()
 def gmm_select(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("embedding"))
-    return cluster.gaussian_mixture(e, "embedding", [2, 3], 1)[1].select("vec_id", "cluster")
+    return cluster.gaussian_mixture(t(spark, sf, "embeddings"), "embedding", [2, 3], 1)[1].select("vec_id", "cluster")
 
 
 @query()

@@ -71,3 +71,12 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda d: sorted(tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_mixture_query_uses_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(300, 6))
+    v[:100, 5] += 30  # apart in the last component only
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster for r in __spark_entry__.queries()["gmm_select"](spark, str(tmp_path)).collect()}
+    assert len(got) == 300 and not {got[i] for i in range(100)} & {got[i] for i in range(100, 300)}
