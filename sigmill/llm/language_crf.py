@@ -9,8 +9,8 @@ prediction is the label with the largest mean probability; that mean is its scor
 Fitting. At most ``most_docs`` documents a label (those with the smallest hash of doc_id) give one window of
 ``window`` words each, at a place chosen by hash; that bound is what may be collected. Training sequences are made of
 segments of three windows, half of the time from different labels, so that transitions are learned. Weights are
-fitted by AdaGrad on the exact gradient with a fixed order, so equal inputs give equal models. At most ``most_labels``
-labels are learned, the most frequent.
+fitted by AdaGrad on the exact gradient with a fixed order, so equal inputs give equal models. Every label is learned;
+more than ``most_labels``, which bounds what is collected, raise ValueError.
 
 Forward-backward over a batch is exact for texts of any length: each text is cut into chunks of 32 words, the
 chunks' transfer matrices are multiplied for all chunks at once, prefixes and suffixes are carried over chunks, and
@@ -230,9 +230,10 @@ def fit(docs: DataFrame, most_docs: int = 400, window: int = 60, most_labels: in
     """docs: (doc_id, text, lang), only rows that may be learned from."""
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels)
+    if known.select("lang").distinct().limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"more than {most_labels} labels; most_labels can be raised")
     ranked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= most_docs)
-    chosen = ranked.join(names.select("lang"), "lang").select("doc_id", F.col("lang").alias("label"))
+    chosen = ranked.select("doc_id", F.col("lang").alias("label"))
 
     def windows(batches):
         for batch in batches:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sigmill.llm import language_crf as L
 
@@ -71,3 +72,10 @@ def test_held_out_and_code_switching(spark, odd_docs, no_docs):
 
 def test_nothing_to_learn_from(odd_docs, no_docs):
     assert {r.lang_pred for r in L.predict(odd_docs, L.fit(no_docs)).collect()} == {"und"}
+
+
+def test_labels_beyond_the_bound_are_an_error(spark):
+    docs = spark.createDataFrame([(i, f"word{'abc'[i % 3]} text", "abc"[i % 3]) for i in range(9)], "doc_id long, text string, lang string")
+    assert sorted(L.fit(docs, most_labels=3).labels) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        L.fit(docs, most_labels=2)
