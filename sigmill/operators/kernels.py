@@ -159,8 +159,8 @@ def mixing(x, k, seed=0, iterations=3000, ridge=0.0, deltas=None, delta_columns=
     ratios (rows x r) are observed quotients of the columns in ratio_pairs [(a, b), ..]; each adds the term
     ratio_weight * ((WH)_a - ratio * (WH)_b)^2.
 
-    deltas (rows x d) with the columns of H they go with add the term
-    delta_weight * (sum_k W H D / sum_k W H - delta)^2 through D >= its data's range, fitted by turns. Returns W, H, D, fit.
+    deltas (rows x d) with the columns of H they go with are fitted after the mixing: D is the unbounded least-squares
+    solution of sum_k W H D / sum_k W H = delta and doesn't change W or H, so delta_weight has no effect. Returns W, H, D, fit.
     """
     x = np.array(x, float)
     seen = ~np.isnan(x)
