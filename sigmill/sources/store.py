@@ -8,10 +8,17 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set."""
+    """The session's checkpoint folder. Where none is set, a temporary one on a local master; elsewhere executors wouldn't
+    see each other's files there, so RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='sigmill-')}"
@@ -20,9 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sigmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tables_written(spark: SparkSession) -> int:
+    """How many tables of materialized() this application has now; a mark for drop_tables."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that materialized() has written since the mark. Frames made from them can't be read any more,
+    so call it when results have been written."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del paths[since:]
 
 
 def content_key(df: DataFrame) -> str:
