@@ -10,43 +10,32 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.store import materialized, shared_folder
+
 #: Stands for a null doc_id in join keys.
 NO_ID = -(2**63)
 
 
 def fold(doc_id: Column | str) -> Column:
-    """The doc's fold 0..4: crc32 of doc_id as text, mod 5. A null doc_id gives null."""
+    """The doc's fold 0..4: crc32 of doc_id as text, mod 5. A null doc_id gives null: it's neither learned from nor held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(c.cast("string").cast("binary")) % 5
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def held_out(doc_id: Column | str) -> Column:
+    """Whether the doc's fold is 0; false for a null doc_id."""
+    return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='sigmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sigmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+shared_dir, materialize = shared_folder, materialized
 
 
 def small_batches(spark: SparkSession, most: int = 1000) -> None:

@@ -5,21 +5,27 @@ A document is a sequence of units (words or bytes). Each window of ``window`` un
 super-k-mer of n windows over n - 1 + window units. Equal windows have equal minimisers at equal offsets, so they
 lie in runs of the same bucket (the minimiser's hash), and never twice in one run. That gives these steps:
 
-1. Runs are listed as five longs (minimiser, digest of the run, document, text's hash, place); no text travels. Only buckets
-   with two or more runs can hold a repeat; map-side sums find them and a join, which AQE may split, keeps those.
-2. Runs that agree in minimiser and digest (128 bits together) are copies: all their windows repeat. They're
-   counted map-side, so a passage that fills a third of the table is one row a map task. One of them goes on.
+1. Runs are listed as six longs (minimiser, two digests of the run, document, text's hash, place) in a table; no text
+   travels. Only buckets with two or more runs can hold a repeat; map-side sums find them and a join, which AQE may split,
+   keeps those.
+2. Runs of one bucket that agree in both digests are copies: all their windows repeat. The digests are independent, 64 bits
+   of a sum modulo 2**64 and 62 of two sums modulo a prime. Copies are counted map-side, so a passage that fills a third
+   of the table is one row a map task. One of them goes on.
 3. What is left, different runs in one bucket, is cut from the texts and sent, packed, to its bucket, where
-   ``count_bucket`` sorts the windows exactly. A bucket never has more than ``hot`` different runs: beyond that its
-   windows are counted one by one, keyed by minimiser and window digest, again with map-side sums.
-
-Rows are known by doc_id and the text's 64-bit hash, so repeated rows and different texts under one id or none work.
+   ``count_bucket`` sorts the windows exactly.
+4. A bucket of more than ``hot`` different runs isn't sent to one task. Its runs are cut into shorter ones by the
+   minimisers of longer grams, and steps 1 to 3 are done again with these buckets, which are smaller and as exact: equal
+   windows agree in these minimisers too. The last grams are whole windows, whose buckets hold one kind of run.
+
+Rows are known by doc_id and the text's 64-bit hash, so repeated rows and different texts under one id or none work; a
+row's places are kept once, however often the row is repeated. A text of any length is scanned whole, in arrays of its
+size, by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one set of arrays covers; a longer document is taken alone.
 STEP = 1 << 20
-#: One window's occurrences are spread over so many keys where they're joined with its count.
-SALTS = 16
+PRIME = np.int64(2**31 - 1)
+#: Bases of the two sums modulo PRIME.
+PRIME_BASES = (1_103_515_245, 48_271_977)
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -82,6 +89,35 @@ class Sums:
         return (self.d[m:] - self.d[:-m]) * self.back[: len(self.d) - m]
 
 
+@lru_cache(4)
+def _prime_powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (base, pow(base, -1, int(PRIME))):
+        p = np.ones(1, np.int64)
+        while len(p) < 1 << bits:
+            p = np.concatenate([p, p * pow(b, len(p), int(PRIME)) % PRIME])
+        out.append(p)
+    return out[0], out[1]
+
+
+class PrimeSums:
+    """62-bit hashes of ranges of units by two prefix sums modulo 2**31 - 1, independent of those of Sums."""
+
+    def __init__(self, u: np.ndarray):
+        bits = max(20, int(len(u) + 1).bit_length())
+        self.parts = []
+        for shift, base in zip((0, 33), PRIME_BASES):
+            pw, back = _prime_powers(bits, base)
+            d = np.zeros(len(u) + 1, np.int64)
+            small = (u >> U(shift)).astype(np.int64) & np.int64(2**31 - 1)
+            np.cumsum(small * pw[: len(u)] % PRIME, out=d[1:])
+            self.parts.append((d, back))
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = ((d[b] - d[a]) % PRIME * back[a] % PRIME for d, back in self.parts)
+        return low | high << np.int64(31)
+
+
 def word_units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of consecutive texts, and each text's range of them."""
     word = ~SPACE[raw]
@@ -92,8 +128,9 @@ def word_units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] &= ~word[1:]
     last[inner - 1] = word[inner - 1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = Sums(BYTE_HASH[raw])
-    return mixed(sums.of(a, b), 3), np.searchsorted(a, off)
+    byte = BYTE_HASH[raw]
+    other = PrimeSums(byte).of(a, b).view(U)
+    return mixed(Sums(byte).of(a, b) ^ mixed(other, 12), 3), np.searchsorted(a, off)
 
 
 def byte_units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +141,12 @@ UNITS = {"words": word_units, "bytes": byte_units}
 
 
 def find_runs(u: np.ndarray, off: np.ndarray, window: int, gram: int):
-    """(text, first window, windows, minimiser, digest) of each run."""
+    """(text, first window, windows, minimiser, two digests) of each run."""
     n = len(u)
     lengths = np.diff(off)
     if n < window or not (lengths >= window).any():
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z, z, z
     sums = Sums(u)
     g = mixed(sums.grams(gram), 1)
     mask = U((1 << int(n).bit_length()) - 1)
@@ -134,7 +171,7 @@ def find_runs(u: np.ndarray, off: np.ndarray, window: int, gram: int):
     p = p[heads]
     digest = mixed(sums.of(a, a + count - 1 + window) ^ mixed(((p - a) * 4096 + count).astype(U), 5), 2)
     text = np.searchsorted(off, a, "right") - 1
-    return text, a - off[text], count, g[p].view(np.int64), digest.view(np.int64)
+    return text, a - off[text], count, g[p].view(np.int64), digest.view(np.int64), PrimeSums(u).of(a, a + count - 1 + window)
 
 
 # A place is the first window above 10 bits of windows - 1.
@@ -154,21 +191,37 @@ def _scan(unit: str, window: int, gram: int):
             th = batch.column(1).to_numpy()
             for i, j in slices(off, STEP):
                 u, uoff = UNITS[unit](raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                t, a, n, mh, dg = find_runs(u, uoff, window, gram)
+                t, a, n, mh, dg, dg2 = find_runs(u, uoff, window, gram)
                 if len(t):
-                    yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(dg), pa.array(k[i:j][t]), pa.array(th[i:j][t]), pa.array(place(a, n))], ["mh", "dg", "k", "th", "place"])
+                    yield _listed(mh, dg, dg2, k[i:j][t], th[i:j][t], place(a, n))
 
     return run
 
 
+RUN = "mh long, dg long, dg2 long, k long, th long, place long"
+
+
+def _listed(*columns):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mh", "dg", "dg2", "k", "th", "place"])
+
+
+def _once(batch, seen: list):
+    """The rows of the batch (k, th, text, runs); of neighbouring equal (k, th), one. The others are repeated rows."""
+    for row in zip(*(c.to_pylist() for c in batch.columns)):
+        if row[:2] != tuple(seen):
+            seen[:] = row[:2]
+            yield row
+
+
 def _cut(unit: str, window: int):
     """Rows (k, th, text, runs of (mh, place)) to packed runs."""
 
     def run(batches):
+        seen: list = []
         for batch in batches:
             out = ([], [], [], [], [])
             size = 0
-            for k, th, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, th, text, runs in _once(batch, seen):
                 raw = text.encode()
                 words = raw.split() if unit == "words" else None
                 for r in runs:
@@ -190,21 +243,25 @@ def _packed(out):
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["mh", "k", "th", "place", "packed"])
 
 
-def _single(unit: str, window: int):
-    """Rows (k, th, text, runs of (mh, place)) to (mh, digest, k, th, place) of single windows."""
+def _rescan(unit: str, window: int, gram: int):
+    """Rows (k, th, text, runs of (mh, place)) to shorter runs, by the minimisers of these runs and of longer grams."""
 
     def run(batches):
+        seen: list = []
         for batch in batches:
-            for k, th, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, th, text, runs in _once(batch, seen):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 u, _ = UNITS[unit](raw, np.array([0, len(raw)]))
-                sums = Sums(u)
-                places, mh = np.array([r["place"] for r in runs]), np.array([r["mh"] for r in runs])
-                n = (places & 1023) + 1
-                ends = np.cumsum(n)
-                a = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(places >> 10, n)
-                digest = mixed(sums.of(a, a + window), 9).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mh, n)), pa.array(digest), pa.array(np.full(len(a), k, np.int64)), pa.array(np.full(len(a), th, np.int64)), pa.array(place(a, 1))], ["mh", "dg", "k", "th", "place"])
+                runs.sort(key=lambda r: r["place"])
+                first = np.array([r["place"] >> 10 for r in runs])
+                size = np.array([(r["place"] & 1023) + window for r in runs])
+                old = np.array([r["mh"] for r in runs], np.int64).view(U)
+                off = np.concatenate([[0], np.cumsum(size)])
+                for i, j in slices(off, STEP):
+                    at = np.repeat(first[i:j] - (off[i:j] - off[i]), size[i:j]) + np.arange(off[j] - off[i])
+                    t, a, n, mh, dg, dg2 = find_runs(u[at], off[i : j + 1] - off[i], window, gram)
+                    both = mixed(mixed(old[i + t], 14) ^ mh.view(U), 15).view(np.int64)
+                    yield _listed(both, dg, dg2, np.full(len(t), k, np.int64), np.full(len(t), th, np.int64), place(first[i + t] + a, n))
 
     return run
 
@@ -254,31 +311,42 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
     return run
 
 
-def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512, keep_rows: bool = False) -> DataFrame:
-    """k, th, text (null as empty), spans (the repeated windows' (first, n), null if none) and, with keep_rows, docs' columns in struct ``row``."""
-    small_batches(docs.sparkSession)
-    rows = keyed(docs)
-    runs = rows.select("k", "th", "text").mapInArrow(_scan(unit, window, gram), "mh long, dg long, k long, th long, place long")
+def _found(runs: DataFrame, hot: int) -> DataFrame:
+    """(mh, k, th, place, copied, compare, hot) of the runs that are copies, or one of several kinds in their bucket."""
+    runs = materialize(runs)
     shared = materialize(runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh"))  # a table, so that AQE may split hot buckets in the join
     alive = materialize(runs.join(shared, "mh"))
-    copies = materialize(alive.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "th", "place")).alias("rep")))
+    copies = materialize(alive.groupBy("mh", "dg", "dg2").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "th", "place")).alias("rep")))
     kinds = materialize(copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    known = alive.join(copies, ["mh", "dg"]).join(kinds, "mh", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
-    found = materialize(known.select("mh", "k", "th", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.xxhash64("k", "th", "place") == F.col("rep")))).alias("compare"), (F.col("kinds") > hot).alias("hot")).where("copied or compare"))
-    texts = rows.select("k", "th", "text")
-    parts = found.where("copied").select("k", "th", "place")
-
-    def lists(which):
-        return found.where(which).groupBy("k", "th").agg(F.collect_list(F.struct("mh", "place")).alias("runs"))
-
-    packed = texts.join(lists("compare and not hot"), ["k", "th"]).select("k", "th", "text", "runs").mapInArrow(_cut(unit, window), "mh long, k long, th long, place long, packed binary")
-    parts = parts.union(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, th long, place long"))
-    if found.where("compare and hot").limit(1).count():
-        single = texts.join(lists("compare and hot"), ["k", "th"]).select("k", "th", "text", "runs").mapInArrow(_single(unit, window), "mh long, dg long, k long, th long, place long")
-        many = single.groupBy("mh", "dg").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "dg", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = single.withColumn("salt", F.pmod(F.xxhash64("k", "th"), F.lit(SALTS)).cast("int"))
-        parts = parts.union(salted.join(many, ["mh", "dg", "salt"]).select("k", "th", "place"))  # in one plan with the texts' exchange, which it reuses
-    spans = parts.groupBy("k", "th").agg(F.collect_list(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
+    known = alive.join(copies, ["mh", "dg", "dg2"]).join(kinds, "mh", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    one = (F.col("c") == 1) | (F.xxhash64("k", "th", "place") == F.col("rep"))
+    known = known.select("mh", "k", "th", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & one).alias("compare"), (F.col("kinds") > hot).alias("hot"))
+    return materialize(known.where("copied or compare"))
+
+
+def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512, keep_rows: bool = False) -> DataFrame:
+    """k, th, text (null as empty), spans (the repeated windows' (first, n), null if none) and, with keep_rows, docs' columns in struct ``row``."""
+    if not 0 < gram <= window or window - gram >= 1024:
+        raise ValueError("gram must be 1 to window, and less than 1024 under window")
+    small_batches(docs.sparkSession)
+    texts = keyed(docs).select("k", "th", "text")
+    runs, parts = texts.mapInArrow(_scan(unit, window, gram), RUN), []
+    grams = sorted({g for g in (window - max(1, window // 8), window) if g > gram})
+    while True:
+        found = _found(runs, hot if grams else 2**62)
+        parts.append(found.where("copied").select("k", "th", "place"))
+
+        def with_text(which):
+            lists = found.where(which).groupBy("k", "th").agg(F.collect_set(F.struct("mh", "place")).alias("runs"))  # a set: repeated rows have the same places
+            return texts.join(lists, ["k", "th"]).select("k", "th", "text", "runs")
+
+        packed = with_text("compare and not hot").mapInArrow(_cut(unit, window), "mh long, k long, th long, place long, packed binary")
+        parts.append(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, th long, place long"))
+        if not grams or not found.where("compare and hot").limit(1).count():
+            break
+        runs = with_text("compare and hot").mapInArrow(_rescan(unit, window, grams.pop(0)), RUN)
+    parts = reduce(DataFrame.union, parts)
+    spans = parts.groupBy("k", "th").agg(F.collect_set(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
     if not keep_rows:  # the same columns as above, so that one exchange of the texts serves both joins
         return texts.join(spans, ["k", "th"], "left")
     whole = docs.select(F.struct("*").alias("row")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("row.text", F.lit("")).alias("text"))

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigmill.llm.repeats import repeated_windows, word_units
 from sigmill.llm.suffix_dedup import refine_buckets, suffix_dedup, without_repeats
-from sigmill.llm.superkmer_dedup import superkmer_dedup
+from sigmill.llm.superkmer_dedup import count_windows, superkmer_dedup
 
 
 def brute(texts, units, join, window):
@@ -76,3 +77,46 @@ def test_refinement_against_counting():
         count = Counter(raw[i : i + depth] for i in range(3000) if i + depth <= ends[i])
         want = {i for i in range(3000) if i + depth <= ends[i] and count[raw[i : i + depth]] > 1}
         assert set(refine_buckets(text, ends, depth).tolist()) == want
+
+
+def test_many_rows_without_id(spark):
+    """3,000 null-id texts of differing length, and 2,000 rows that are equal in all columns."""
+    rows = [(None, " ".join(f"w{i}x{j}" for j in range(5 + i % 40))) for i in range(3000)]
+    page = " ".join(f"page{j}" for j in range(60))
+    docs = spark.createDataFrame(rows + [(None, page)] * 2000 + [(7, f"new {page} words")], "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in superkmer_dedup(docs, 20, 6, 4, keep_text=False).collect())
+    want = Counter((None, len(t.split()), 0) for _, t in rows) + Counter({(None, 60, 60): 2000, (7, 62, 60): 1})
+    assert got == want
+    spans = repeated_windows(docs, "words", 20, 6, count_windows(20)).where("k is null or spans is not null")
+    assert spans.selectExpr("max(size(spans))").first()[0] <= 41
+    got = Counter((r.doc_id, r.n_removed > 0) for r in suffix_dedup(docs, 100, 40, 4, keep_text=False).collect())
+    assert got == Counter({(None, False): 3000, (None, True): 2000, (7, True): 1})
+
+
+def test_words_whose_sums_modulo_two_to_the_64_agree(spark):
+    a = b"a"
+    for _ in range(11):
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    raw = np.frombuffer(a + b" " + b, np.uint8)
+    u, _ = word_units(raw, np.array([0, len(raw)]))
+    assert u[0] != u[1] and len(a) == 2048
+    tail = " ".join(f"t{i}" for i in range(4))
+    docs = spark.createDataFrame([(1, f"{a.decode()} {tail}"), (2, f"{b.decode()} {tail}")], "doc_id long, text string")
+    assert [r.n_removed for r in superkmer_dedup(docs, 5, 2, keep_text=False).collect()] == [0, 0]
+
+
+def test_hot_buckets_are_split_exactly(spark):
+    """One passage in many texts whose other words differ: one bucket with many kinds of runs."""
+    core = [f"core{i}" for i in range(12)]
+    rows = [(i, " ".join([f"a{i % 7}", f"b{i}", *core, f"c{i % 5}", f"d{i}"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, a, b, d) for (i, _), (a, b, _, d) in zip(rows, brute([t for _, t in rows], bytes.split, b" ".join, 13)))
+    for hot in (0, 8, 512):
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in superkmer_dedup(docs, 13, 4, hot, keep_text=False).collect())
+        assert got == want
+
+
+def test_parameters_that_places_cannot_hold(no_docs):
+    with pytest.raises(ValueError):
+        superkmer_dedup(no_docs, 1100, 8)
