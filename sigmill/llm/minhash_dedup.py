@@ -14,10 +14,11 @@ shingles (64-bit hashes); with fewer words the whole sequence is the only one. T
 4. Candidates' sets are made from the texts again, in a pass that a bit map of the wanted nodes (of bounded size) lets
    skip most texts, and joined to the pairs. Texts themselves never travel.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
-6. A star can miss a link between two of its rays. The rays of buckets that still hold more than one component are
-   compared by bit maps of their sets, which bound the intersection from above: in blocks of ``block`` nodes, so that a
-   task holds two blocks, and only pairs of different components that the bound doesn't rule out are emitted. They're
-   confirmed as in 4, and their links join components.
+6. A star can miss a link between two of its rays. The rays of buckets that still hold more than one component (of buckets
+   with the same rays, one) are compared by their sets' sizes and by bit maps that grow with the sets, which bound the
+   intersection from above: in blocks of about 32 * ``block`` words of maps, so that a task holds two blocks, and only
+   pairs of different components that the bounds don't rule out are emitted. They're confirmed as in 4, and their links
+   join components.
 
 Null and empty texts have no set and are linked with nothing. doc_id names a document: repeated rows get the same
 component, and an id with two texts has the links of both. A null doc_id names nothing: such rows are told apart by
@@ -37,8 +38,8 @@ from .common import materialize, slices, small_batches, table, text_buffer
 from .repeats import STEP, Sums, mixed, word_units
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 4, 32, 5, 80
-#: 64-bit words of a set's bit map.
-MAP = 32
+#: A set's bit map has 4 bits a shingle at least, in a power of two of 64-bit words, LEAST_WORDS at least.
+LEAST_WORDS = 8
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -95,13 +96,22 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def bit_maps(h: np.ndarray, soff: np.ndarray) -> np.ndarray:
-    """(texts, MAP): one bit for each shingle, at its hash."""
-    at = mixed(h, 50) % np.uint64(64 * MAP)
-    out = np.zeros((len(soff) - 1) * MAP, np.uint64)
-    text = np.repeat(np.arange(len(soff) - 1), np.diff(soff))
-    np.bitwise_or.at(out, text * MAP + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out.view(np.int64).reshape(-1, MAP)
+def bit_maps(h: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bit for each shingle, at its hash: the texts' maps one after another, and each map's range of words."""
+    n = np.diff(soff)
+    words = np.exp2(np.ceil(np.log2(np.maximum(n / 16, LEAST_WORDS)))).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(words)])
+    at = (mixed(h, 50) & np.repeat(64 * words - 1, n).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(off[-1], np.uint64)
+    np.bitwise_or.at(out, np.repeat(off[:-1], n) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64), off
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (sets, more words) as they'd be with so many words."""
+    while maps.shape[1] > words:
+        maps = maps[:, : maps.shape[1] // 2] | maps[:, maps.shape[1] // 2 :]
+    return maps
 
 
 def may_be_near(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, threshold: int) -> np.ndarray:
@@ -113,26 +123,48 @@ def may_be_near(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, th
     return (100 + threshold) * common >= threshold * (na[:, None] + nb[None, :])
 
 
-def _block_pairs(threshold, step: int = 64):
+def near_places(n: np.ndarray, root: np.ndarray, maps: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int, step: int = 64, most: int = 1 << 21):
+    """Pieces (p, q) of pairs of x and y in different components that their sizes and maps don't rule out."""
+    words = np.array([len(m) for m in maps])
+    for w in np.unique(words[x]):
+        for v in (w // 2, w, 2 * w):  # similar sets' maps differ in size by a factor of 2 at most
+            p_all, q_all = (i[words[i] == k] for i, k in ((x, w), (y, v)))
+            if not len(p_all) or not len(q_all):
+                continue
+            p_all, q_all = p_all[np.argsort(n[p_all], kind="stable")], q_all[np.argsort(n[q_all], kind="stable")]
+            a, b = (folded(np.stack([maps[i] for i in part]).view(np.uint64), min(v, w)) for part in (p_all, q_all))
+            wide = max(1, most // (step * min(v, w)))
+            for i in range(0, len(p_all), step):
+                p = p_all[i : i + step]
+                lo, hi = np.searchsorted(100 * n[q_all], threshold * n[p[0]], "left"), np.searchsorted(threshold * n[q_all], 100 * n[p[-1]], "right")
+                for j in range(lo, hi, wide):
+                    q = q_all[j : min(j + wide, hi)]
+                    ok = may_be_near(a[i : i + step], n[p], b[j : j + len(q)], n[q], threshold) & (root[p][:, None] != root[q][None, :])
+                    r, c = np.nonzero(ok)
+                    yield p[r], q[c]
+
+
+def _block_pairs(threshold):
     """Rows (key, lo, hi, block, node, n, root, bits), sorted by (key, lo, hi), to the pairs of nodes of block lo with
     nodes of block hi that lie in different components and may be near."""
 
     def settle(block, lo, hi, node, n, root, bits):
         x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for i in range(0, len(x), step):
-            p = x[i : i + step]
-            ok = may_be_near(bits[p], n[p], bits[y], n[y], threshold) & (root[p][:, None] != root[y][None, :])
+        for p, q in near_places(n, root, bits, x, y, threshold):
             if lo == hi:
-                ok &= p[:, None] < y[None, :]
-            r, c = np.nonzero(ok)
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p[r]], node[y[c]])), pa.array(np.maximum(node[p[r]], node[y[c]]))], ["a", "b"])
+                p, q = p[p < q], q[p < q]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q]))], ["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns[:7]]
-            cols.append(batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, MAP))
+            off = batch.column(7).offsets.to_numpy()
+            flat = batch.column(7).flatten().to_numpy()
+            maps = np.empty(len(off) - 1, object)
+            maps[:] = [flat[i - off[0] : j - off[0]] for i, j in zip(off[:-1], off[1:])]
+            cols.append(maps)
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             key, lo, hi = cols[:3]
@@ -158,7 +190,8 @@ def _scan(shingle, bands, rows):
                 d = [(sums[k][soff[1:]] - sums[k][soff[:-1]]).view(np.int64) for k in (0, 1)]
                 keys = band_keys(sketches(h, soff, bands * rows), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * MAP + 1, MAP), pa.int32()), pa.array(bit_maps(h, soff).ravel()))
+                words, woff = bit_maps(h, soff)
+                maps = pa.ListArray.from_arrays(pa.array(woff, pa.int32()), pa.array(words))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(soff)), pa.array(d[0]), pa.array(d[1]), lists, maps], ["id", "th", "n", "d1", "d2", "bands", "bits"])
 
     return run
@@ -209,7 +242,8 @@ def _sets(shingle, marks, bits):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: (id, text), where rows of one id have equal texts."""
+    """Those of the distinct pairs (a, b) whose full sets are similar enough; texts: (id, text), where rows of one id have
+    equal texts. No aggregate follows the joins, so that AQE may split a hub's rays."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(wanted)
     bits = 1 << min(max(16 * wanted.count(), 64).bit_length(), MOST_BITS.bit_length() - 1)
@@ -221,7 +255,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) ->
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("same"))
-    return materialize(both.where(f"100L * same >= {threshold}L * (total - same)").select("a", "b").distinct())
+    return materialize(both.where(f"100L * same >= {threshold}L * (total - same)").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,8 +292,11 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     links = confirm(materialize(done), texts, shingle, threshold)
     roots = components(links)
     placed = buckets.where("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", "m")
-    left = placed.join(materialize(split), "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    work = F.sum(F.greatest(F.col("n") / 8, F.lit(2 * LEAST_WORDS)))  # words of the bucket's maps, at most
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), work.alias("work"), *alike).where("r0 <> r1")
+    split = split.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.max("work").alias("work")).select("key", "work")  # of buckets with the same nodes, one
+    left = placed.join(materialize(split), "key").withColumn("blocks", F.ceil(F.col("work") / (32 * block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.join(nodes.select("node", "bits"), "node")
     left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "bits")

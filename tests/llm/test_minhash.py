@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from sigmill.llm.minhash_dedup import band_keys, near_components, representatives, shingle_sets, sketches
+from sigmill.llm.minhash_dedup import band_keys, bit_maps, near_components, near_places, representatives, shingle_sets, sketches
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -104,3 +104,33 @@ def test_bins_agree_as_often_as_the_sets_are_similar():
         same.append((s[0] == s[1]).mean() - n / (n + 200))
         assert band_keys(s, 32, 5).shape == (2, 32)
     assert abs(np.mean(same)) < 0.02
+
+
+def test_maps_rule_out_long_sets_and_never_a_similar_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 40, 500, 4000, 4000, 30000):
+        own = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets += [own, np.concatenate([own[: max(1, int(n * 0.9))], rng.integers(0, 2**63, n // 10).astype(np.uint64)])]
+    words, off = bit_maps(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]))
+    maps = [words[i:j] for i, j in zip(off[:-1], off[1:])]
+    n, every = np.array([len(s) for s in sets]), np.arange(len(sets))
+    got = {(a, b) for p, q in near_places(n, every, maps, every, every, 80, 3, 64) for a, b in zip(p.tolist(), q.tolist())}
+    near = {(a, b) for a in every.tolist() for b in every.tolist() if a != b and 100 * len(i := np.intersect1d(sets[a], sets[b])) >= 80 * (n[a] + n[b] - len(i))}
+    assert near <= got and {(2 * i, 2 * i + 1) for i in range(1, 6)} <= near
+    assert not {(a, b) for a, b in got if a // 2 != b // 2}
+
+
+def test_recall_on_near_copies_of_long_texts(spark):
+    r = random.Random(11)
+    rows = []
+    for f in range(5):
+        base = [f"w{r.randrange(4000)}" for _ in range(2500)]
+        for _ in range(8):
+            cur = list(base)
+            for _ in range(r.randrange(20, 110)):
+                cur[r.randrange(len(cur))] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(cur)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((g.doc_id, g.n_shingles, g.component_id) for g in near_components(docs).collect())
+    assert got == brute(rows, 4, 80)
