@@ -17,9 +17,11 @@ Score. (sum of cosine * label + rate * smooth) / (sum of cosine + smooth), over
 cosine; rate is the share of label 1 in the labelled rows (learning folds). A text without a known term has score
 rate. The evidence is the neighbours' doc_ids with their cosines.
 
-A null text is empty; rows with null labels or null doc_id aren't learned from; several labels of one document
-count as label 1 if any does. Without a labelled example every score is 0. Texts are scored whole, row by row
-without a shuffle; equal bags of known terms are scored once a worker (bounded memory of results).
+A null text is empty; rows with null labels or null doc_id aren't learned from, and null doc_ids aren't held out; several
+labels of one document count as label 1 if any does; of several texts of one labelled doc_id, the least is learned from.
+Repeated rows are scored alike. Without a labelled example every score is 0. An empty table gives an empty result. Texts
+of any length are scored whole, row by row without a shuffle; equal bags of known terms are scored once a worker (bounded
+memory of results).
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, materialize, small_batches, table
+from .common import fold, held_out, materialize, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+").findall
 BLOCK = 128
@@ -145,7 +147,7 @@ def covering(examples: list[tuple[int, set[int]]], terms: int, min_share: float)
     return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, most_terms: int = 4096, min_df: int = 3, min_share: float = 0.75, k: int = K, smooth: float = 1.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, most_terms: int = 100_000, min_df: int = 3, min_share: float = 0.75, k: int = K, smooth: float = 1.5) -> Model:
     """docs: (doc_id, text); labels: (doc_id, label), only rows that may be learned from."""
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("long")).alias("label"))
@@ -158,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, most_term
         return Model({}, np.zeros(0), None, 0.0)
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(int(r["doc_id"]), int(r["label"])) for r in picked], "doc_id long, label long"))  # at most 2 * most_examples rows
-    rows = docs.join(chosen, "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
+    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = materialize(rows)  # the bounded examples, read several times below
     terms = rows.select("label", "text").mapInArrow(_example_terms, "label long, term string, share double").groupBy("term").agg(F.sum("share").alias("df"), F.sum(F.col("label") * F.col("share")).alias("a"))
     terms = materialize(terms.where((F.col("df") >= min_df) | (F.col("term") == "")))
     whole = terms.where("term = ''").first()
@@ -166,7 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, most_term
     chi2 = F.expr(f"{n!r}D * pow(a * ({n - n1!r}D - (df - a)) - (df - a) * ({n1!r}D - a), 2) / greatest(df * ({n!r}D - df) * {n1!r}D * {n - n1!r}D, 1D)")
     tested = max(terms.count(), 2)
     strong = terms.where((F.col("a") / F.col("df") >= min_share)).withColumn("chi2", chi2).where(F.col("chi2") >= 2 * float(np.log(tested)))
-    candidates = spark.sparkContext.broadcast({r["term"] for r in strong.orderBy(F.desc("chi2"), "term").limit(8 * most_terms).select("term").collect()})
+    strong = materialize(strong)
+    if strong.count() > most_terms:
+        raise ValueError(f"more than {most_terms} terms go with the label; most_terms can be raised")
+    candidates = spark.sparkContext.broadcast({r["term"] for r in strong.select("term").collect()})
 
     def contexts(batches):
         for batch in batches:
@@ -177,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, most_term
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["term", "before"])
 
     varied = rows.where("label = 1").select("text").mapInArrow(contexts, "term string, before string").distinct().groupBy("term").count().where(F.col("count") >= min_df).select("term")
-    kept = strong.join(varied, "term").orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
+    kept = strong.join(varied, "term").orderBy(F.desc("chi2"), "term").collect()
     vocabulary = {r["term"]: i for i, r in enumerate(kept)}
     idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in kept])
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -244,4 +250,4 @@ def op2_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
     out = score(docs, model)
-    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted", "evidence", "cosines")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence", "cosines")

@@ -52,3 +52,46 @@ def test_labels_of_fold_zero_are_left_out(spark):
     import zlib
 
     assert {r.doc_id for r in T.learnable(labels).collect()} == {i for i in range(100) if zlib.crc32(str(i).encode()) % 5}
+
+
+def test_whole_query_equals_brute_force(spark, tmp_path):
+    """op2 on a small table against neighbours by full scans, and its calibration on the held-out fold."""
+    import zlib
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        w = [r.choice(words) for _ in range(r.randrange(1, 60))]
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(r.randrange(1, 4)):
+                w.insert(r.randrange(len(w) + 1), r.choice(["rottenish", "Vilest", "scummy", "grimelord"]))
+        rows.append((i, " ".join(w) if i % 97 else None, "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    rows.append((None, "scummy vilest", None, None, None))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = T.op2_toxicity_knn(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = T.fit(docs.select("doc_id", "text"), T.learnable(spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    vectors = [{} for _ in model.index.ids]
+    for t in range(len(model.vocabulary)):
+        for i in range(model.index.at[t], model.index.at[t + 1]):
+            vectors[model.index.doc[i]][t] = model.index.weight[i]
+    text, label = {i: t or "" for i, t, *_ in rows}, {i: y for i, _, y in labels}
+    for x in got:
+        bag = {}
+        for w in T.WORD(text[x.doc_id].lower()):
+            for t in T.terms_of(w):
+                if t in model.vocabulary:
+                    bag[model.vocabulary[t]] = bag.get(model.vocabulary[t], 0) + 1
+        q = {t: (1 + np.log(n)) * model.idf[t] for t, n in bag.items()}
+        norm = np.sqrt(sum(w * w for w in q.values())) or 1
+        near = sorted((-round(sum(w / norm * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vectors))[: model.index.k]
+        near = [(-c, i) for c, i in near if c < 0]
+        want = (sum(c * model.index.labels[i] for c, i in near) + model.rate * model.index.smooth) / (sum(c for c, _ in near) + model.index.smooth)
+        assert abs(x.score - want) < 1e-6 and x.predicted == int(x.score >= 0.5)
+        assert x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+    held = [(x.score, label[x.doc_id]) for x in got if x.held_out and x.doc_id % 97]
+    assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.97 and np.mean([(s - y) ** 2 for s, y in held]) < 0.03
