@@ -1,37 +1,39 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters, lower-cased. A word's features are its affixes of 1 to 3 letters, its letter 2- and
+Words are letters (Unicode's category L) with the letters and combining marks that follow, lower-cased. A word's features are its affixes of 1 to 3 letters, its letter 2- and
 3-grams with the word's ends marked, and a lexicon entry (the label that most of the word's uses in the sample
 have). With one weight a feature and label, and one a pair of labels in a row, the chain gives each word's label
 probabilities by forward-backward, so a text that switches languages is labelled word by word. The document's
 prediction is the label with the largest mean probability; that mean is its score.
 
-Fitting. At most ``most_docs`` documents a label (those with the smallest hash of doc_id) give one window of
-``window`` words each, at a place chosen by hash; that bound is what may be collected. Training sequences are made of
-segments of three windows, half of the time from different labels, so that transitions are learned. Weights are
-fitted by AdaGrad on the exact gradient with a fixed order, so equal inputs give equal models. Every label is learned;
-more than ``most_labels``, which bounds what is collected, raise ValueError.
+Fitting. At most ``most_docs`` documents a label (those with the smallest hash of doc_id) are collected with their whole
+texts; these two numbers and ``most_labels`` bound the rows, and more labels raise ValueError, so that each is learned. A
+text's words are all trained on, in sequences of ``window`` words; half of the sequences get a third from another text, so
+that transitions are learned. Weights are fitted by AdaGrad on the exact gradient with a fixed order, so equal inputs give
+equal models.
 
 Forward-backward over a batch is exact for texts of any length: each text is cut into chunks of 32 words, the
 chunks' transfer matrices are multiplied for all chunks at once, prefixes and suffixes are carried over chunks, and
 the words' marginals follow inside the chunks.
 
 Texts that are null or without letters get 'und' and score 0, as all do if nothing can be learned. Rows with null
-lang or doc_id aren't learned from; null doc_ids are predicted. Repeated rows are predicted alike. No shuffle.
+lang or doc_id aren't learned from; null doc_ids are predicted and not held out. Repeated rows are predicted alike, and of
+several texts of one doc_id and label the least is learned from. Of labels with equal means the first in sorted order is
+predicted. An empty table gives an empty result. Predicting doesn't shuffle.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import fold, small_batches, table
+from .common import fold, held_out, small_batches, table
 
-WORD = re.compile(r"[^\W\d_]+").findall
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 CHUNK = 32
 
 
@@ -138,8 +140,8 @@ def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarr
     return out
 
 
-def train(samples: dict[str, list[list[str]]], epochs: int = 8, rate: float = 0.3, batch: int = 32, seed: int = 5) -> Chain:
-    """samples: windows of words by label."""
+def train(samples: dict[str, list[list[str]]], epochs: int = 3, rate: float = 0.3, batch: int = 32, seed: int = 5) -> Chain:
+    """samples: sequences of words by label."""
     labels = sorted(samples)
     k = len(labels)
     uses: dict[str, Counter] = {}
@@ -226,30 +228,22 @@ def _pairs(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit(docs: DataFrame, most_docs: int = 400, window: int = 60, most_labels: int = 64) -> Chain:
+def fit(docs: DataFrame, most_docs: int = 150, window: int = 60, most_labels: int = 64, salts: int = 64) -> Chain:
     """docs: (doc_id, text, lang), only rows that may be learned from."""
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null")
     if known.select("lang").distinct().limit(most_labels + 1).count() > most_labels:
         raise ValueError(f"more than {most_labels} labels; most_labels can be raised")
-    ranked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= most_docs)
-    chosen = ranked.select("doc_id", F.col("lang").alias("label"))
-
-    def windows(batches):
-        for batch in batches:
-            out = ([], [])
-            for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = WORD(text.lower())
-                at = (doc_id * 2654435761 % 2**32) % max(1, len(words) - window + 1)
-                if words:
-                    out[0].append(label)
-                    out[1].append(words[at : at + window])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string()))], ["label", "words"])
-
-    rows = known.join(F.broadcast(chosen), "doc_id").where("lang = label").select("doc_id", "label", "text").mapInArrow(windows, "label string, words array<string>").collect()  # at most most_docs * most_labels windows
+    ranked = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
+    for by in (["lang", "salt"], ["lang"]):  # so that a label with most of the rows is first ranked in parts
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("r") <= most_docs)
+    chosen = F.broadcast(ranked.select("doc_id", F.col("lang").alias("label")).distinct())  # at most most_docs * most_labels rows
+    rows = known.join(chosen, "doc_id").where("lang = label").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[list[str]]] = {}
-    for r in sorted(rows, key=lambda r: (r["label"], r["words"])):
-        samples.setdefault(r["label"], []).append(r["words"])
+    for r in sorted(rows, key=lambda r: (r["label"], r["doc_id"])):
+        words = WORD(r["text"].lower())
+        samples.setdefault(r["label"], []).extend(words[i : i + window] for i in range(0, len(words), window))
+    samples = {label: pieces for label, pieces in samples.items() if pieces}
     return train(samples) if samples else Chain([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
 
 
@@ -302,4 +296,4 @@ def predict(docs: DataFrame, chain: Chain, step: int = 40_000) -> DataFrame:
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     chain = fit(docs.where(fold("doc_id") != 0))
-    return predict(docs, chain).withColumn("held_out", fold("doc_id") == 0).select("doc_id", "held_out", "lang_pred", "score", "n_words", "switches", "shares")
+    return predict(docs, chain).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "lang_pred", "score", "n_words", "switches", "shares")

@@ -79,3 +79,34 @@ def test_labels_beyond_the_bound_are_an_error(spark):
     assert sorted(L.fit(docs, most_labels=3).labels) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         L.fit(docs, most_labels=2)
+
+
+def test_words_are_letters_with_their_marks():
+    assert L.WORD("हिन्दी x1y ² ½ Ⅷ don't") == ["हिन्दी", "x", "y", "don", "t"]
+
+
+def test_query_against_plain_forward_backward(spark, tmp_path):
+    import zlib
+
+    rows, _, _ = corpus(spark)
+    rows = [*rows, (1000, "² ½ Ⅷ 12", "aa"), (1001, None, "bb"), (None, rows[0][1], "cc"), (1002, "", None), (rows[1][0], rows[1][1], rows[1][2])]
+    spark.createDataFrame([(i, t, y, "s", 1) for i, t, y in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = L.op1_language_crf(spark, str(tmp_path)).collect()
+    chain = L.fit(spark.read.parquet(str(tmp_path / "documents.parquet")).where(L.fold("doc_id") != 0))
+    assert len(got) == len(rows) and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    text = {i: t for i, t, _ in rows}
+    moves = np.exp(chain.moves - chain.moves.max())
+    for r in got:
+        words = L.WORD((text[r.doc_id] or "").lower())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        e = chain.potentials(words)
+        f, b = [np.full(len(chain.labels), 1.0) @ moves * e[0]], [np.ones(len(chain.labels))]
+        for x in e[1:]:
+            f.append((f[-1] / f[-1].sum()) @ moves * x)
+        for x in e[:0:-1]:
+            b.append(moves @ (x * b[-1] / b[-1].sum()))
+        p = np.array(f) * np.array(b[::-1])
+        mean = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert abs(mean.max() - r.score) < 1e-9 and chain.labels[int(mean.argmax())] == r.lang_pred
