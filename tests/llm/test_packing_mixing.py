@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sigmill.llm.poisson_mix import poisson_mix
+from sigmill.llm.poisson_mix import OP7_SQL, op7_poisson_mix, poisson_mix
 from sigmill.llm.pow2_packing import Encoder, pow2_packing, vocabulary_path
 
 
@@ -67,3 +67,13 @@ def test_odd_rows_and_join_path(odd_docs, no_docs):
     key = lambda df: Counter((r.doc_id, r.text, r["copy"]) for r in df.collect())
     assert key(a) == key(b) and set(odd_docs.columns) < set(a.columns)
     assert poisson_mix(no_docs).count() == 0 and poisson_mix(odd_docs, {}).count() == 0
+
+
+def test_sql_and_query_agree_on_odd_rows(spark, odd_docs, tmp_path):
+    more = spark.createDataFrame([(None, f"text {i % 2500}", "en", f"s{i % 3}" if i % 4 else None, 9) for i in range(4000)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd_docs.select("doc_id", "text", "lang", "source", "n_chars").union(more).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(map(tuple, op7_poisson_mix(spark, str(tmp_path)).collect()))
+    duckdb.execute(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(duckdb.sql(OP7_SQL).fetchall())
+    keys = {r[-1] for r in got if r[0] is None}
+    assert len(keys) > 1500 and abs(sum(got.values()) / 4050 - 1) < 0.1

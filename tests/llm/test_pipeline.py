@@ -92,7 +92,7 @@ def test_run_equals_brute_force(spark, folder):
     encode = P.Encoder(P.vocabulary_path()).whole
     for (doc_id, _, source), text in zip(rows, left):
         rate = math.sqrt(sizes[source]) / whole * len(rows) / sizes[source]
-        u = (int(hashlib.md5(f"17:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        u = (int(hashlib.md5(f"17:{'null:' + hashlib.md5(text.encode()).hexdigest() if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
         times, p, total = 0, math.exp(-rate), math.exp(-rate)
         while total < u:
             times += 1
