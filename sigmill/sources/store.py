@@ -26,22 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder for a table that drop_tables deletes."""
+    path = f"{shared_folder(spark)}/sigmill/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sigmill/{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tables_written(spark: SparkSession) -> int:
-    """How many tables of materialized() this application has now; a mark for drop_tables."""
+    """How many tables in the shared folder this application has now; a mark for drop_tables."""
     return len(_written.get(spark.sparkContext.applicationId, []))
 
 
 def drop_tables(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables that materialized() has written since the mark. Frames made from them can't be read any more,
+    """Delete the tables that new_table() and materialized() have made since the mark. Frames made from them can't be read any more,
     so call it when results have been written."""
     paths = _written.get(spark.sparkContext.applicationId, [])
     for path in paths[since:]:
