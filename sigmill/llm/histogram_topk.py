@@ -8,30 +8,35 @@ is one integer wide (or holds exactly what is wanted). A last pass keeps the sco
 Ties at the kth value are cut to the k smallest vec_id in each partition before they travel, then globally,
 so a vector that fills a third of the table adds at most k rows per partition and query.
 
-Scores are 64-bit integers: float64 products where the bound dim * max|q| * max|c| proves them exact (under
-2**53), integer products otherwise. A vector that is null, empty or holds null or non-finite components takes no
-part, nor one whose products could leave 64 bits (see LIMIT); vectors meet queries of their own length only.
-Repeated vec_ids are separate rows; a query leaves out every row with its own vec_id. No queries, or no
-candidates, give an empty result.
+Scores are integers: float64 products where length * max|q| * max|c| proves them exact (under 2**53), 64-bit products
+where it's under 2**62, and Python's integers beyond that, for those rows only. A wanted score that no long can hold is an
+OverflowError. A vector that is null, empty or holds null or non-finite components takes no part; vectors meet queries of
+their own length only. Repeated rows are separate candidates and one query; different vectors under one id are separate
+queries; a query leaves out every row with its own vec_id. No queries, or no candidates, give an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from ..sources.store import new_table
+from .common import materialize, table
 
-#: length * (largest component)**2 of a vector must be under it: then no inner product of two such vectors leaves 64 bits.
-LIMIT = 2.0**61
+EXACT, WIDE = 2.0**53, 2.0**62
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(256 * x) of each component as double; vectors that can't take part are left out."""
-    x = F.transform(F.col("embedding"), lambda c: F.floor(F.lit(256.0) * c.cast("double")).cast("double"))
-    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.pow(F.abs(c.cast("double")) * 256 + 1, 2) * F.size("embedding") >= LIMIT))
-    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+
+    def fine(c):
+        x = F.lit(256.0) * c.cast("double")
+        return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)  # beyond, every double is an integer
+
+    odd = lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(float("inf")))
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull() & ~F.exists("embedding", odd)
+    return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", fine).alias("v"))
 
 
 def _by_length(batch: pa.RecordBatch):
@@ -47,28 +52,42 @@ def _by_length(batch: pa.RecordBatch):
 
 
 def _scores(queries: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Inner products: int64, or Python's integers where those might not do."""
     bound = matrix.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(matrix).max(initial=0))
-    if bound < 2.0**53:
+    if bound < EXACT:
         return (queries @ matrix.T).astype(np.int64)
-    return queries.astype(np.int64) @ matrix.astype(np.int64).T
+    if bound < WIDE:
+        return queries.astype(np.int64) @ matrix.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(queries).dot(whole(matrix).T)
+
+
+def _sized(matrix: np.ndarray) -> list[np.ndarray]:
+    """Row numbers by size, so that few wide rows don't slow the others: any two rows but the last kind's are under WIDE."""
+    wide = np.abs(matrix).max(axis=1, initial=0) >= np.sqrt(WIDE / max(matrix.shape[1], 1))
+    return [i for i in (np.flatnonzero(~wide), np.flatnonzero(wide)) if len(i)]
 
 
 class _Block:
-    """Queries of one block, by vector length."""
+    """Queries of one block, rows (vec_id, v), by vector length and size."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, most: int = 1024):
         self.ids = np.array([r[0] for r in rows], np.int64)
         lengths = np.array([len(r[1]) for r in rows])
-        self.by = {int(n): (np.flatnonzero(lengths == n), np.array([rows[i][1] for i in np.flatnonzero(lengths == n)], np.float64)) for n in np.unique(lengths)}
+        self.by: dict[int, list] = {}
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            m = np.array([rows[i][1] for i in at], np.float64)
+            self.by[int(n)] = [(at[i[j : j + most]], m[i[j : j + most]]) for i in _sized(m) for j in range(0, len(i), most)]
 
     def scored(self, batch: pa.RecordBatch, step: int = 2048):
         """(query rows, candidate ids, scores, usable) pieces of bounded size."""
         for n, ids, matrix in _by_length(batch):
-            if n in self.by:
-                rows, q = self.by[n]
-                for i in range(0, len(ids), step):
-                    part = ids[i : i + step]
-                    yield rows, part, _scores(q, matrix[i : i + step]), self.ids[rows][:, None] != part[None, :]
+            for part in _sized(matrix) if n in self.by else ():
+                for i in range(0, len(part), step):
+                    c = part[i : i + step]
+                    for rows, q in self.by[n]:
+                        yield rows, ids[c], _scores(q, matrix[c]), self.ids[rows][:, None] != ids[c][None, :]
 
 
 def _histograms(block, low, width, bins):
@@ -80,9 +99,9 @@ def _histograms(block, low, width, bins):
         for batch in batches:
             for rows, _, s, use in b.scored(batch):
                 at = (s - lo[rows][:, None]) // w[rows][:, None]
-                ok = use & (at >= 0) & (at < bins)
+                ok = use & ((at >= 0) & (at < bins)).astype(bool)
                 r = np.broadcast_to(np.arange(len(rows))[:, None], s.shape)[ok]
-                total[rows] += np.bincount(r * bins + at[ok], minlength=len(rows) * bins).reshape(len(rows), bins)
+                total[rows] += np.bincount(r * bins + at[ok].astype(np.int64), minlength=len(rows) * bins).reshape(len(rows), bins)
         q, k = np.nonzero(total)
         for i in range(0, len(q), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(q[i : i + 50_000], pa.int64()), pa.array(k[i : i + 50_000], pa.int64()), pa.array(total[q[i : i + 50_000], k[i : i + 50_000]], pa.int64())], ["q", "bin", "n"])
@@ -91,14 +110,15 @@ def _histograms(block, low, width, bins):
 
 
 def _winners(block, least, k):
-    """A function for mapInArrow: the partition's k best (score, then smaller id) of each query at or above least."""
+    """A function for mapInArrow: the partition's k best (score, then smaller id) of each query at or above least; q is the
+    query's place in the block."""
 
     def run(batches):
         b = block.value
         best = {}
         for batch in batches:
             for rows, ids, s, use in b.scored(batch):
-                ok = use & (s >= least[rows][:, None])
+                ok = use & (s >= least[rows][:, None]).astype(bool)
                 for i in np.flatnonzero(ok.any(axis=1)):
                     at = np.flatnonzero(ok[i])
                     got = best.get(rows[i])
@@ -108,35 +128,30 @@ def _winners(block, least, k):
                     o = np.lexsort((vi, -sc))[:k]
                     best[rows[i]] = (sc[o], vi[o])
         if best:
-            q = np.concatenate([np.full(len(v[0]), b.ids[r], np.int64) for r, v in best.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))], ["query_id", "vec_id", "score"])
+            q = np.concatenate([np.full(len(v[0]), r, np.int64) for r, v in best.items()])
+            score = np.concatenate([v[0] for v in best.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b.ids[q]), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(score.tolist() if score.dtype == object else score, pa.int64())], ["q", "query_id", "vec_id", "score"])
 
     return run
 
 
-def histogram_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, bins: int = 64, block: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): both inputs as of quantized(). Passes over the candidates: two or three for each block."""
+def histogram_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, bins: int = 64, block: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score): both inputs as of quantized(). Two or three passes over the candidates for each block;
+    a block's winners go to a table, so the plan doesn't grow with the number of blocks."""
     spark, sc = candidates.sparkSession, candidates.sparkSession.sparkContext
-    out = None
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last = None
+    numbered = materialize(queries.distinct().withColumn("q", F.monotonically_increasing_id()))
     span = candidates.select(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c))))).first()
-    while True:  # blocks in the order of vec_id; each is bounded, so it may be collected and broadcast
-        todo = queries if last is None else queries.where(F.col("vec_id") > F.lit(last))
-        rows = todo.orderBy("vec_id").limit(block).collect()
-        if not rows:
-            break
-        last = rows[-1][0]
-        if len(rows) == block:  # repeated ids must not straddle blocks
-            rows = [r for r in rows if r[0] != last] + queries.where(F.col("vec_id") == F.lit(last)).collect()
-        seen = _Block(rows)
-        far = int(max(max((abs(x) for r in rows for x in r[1]), default=1), 1)) * int(max(span[1] or 1, 1)) * int(span[0] or 1)
-        n = len(rows)
-        low, width = np.full(n, -far, np.int64), np.full(n, max(1, -(-(2 * far + 1) // bins)), np.int64)
-        above, least, open_ = np.zeros(n, np.int64), np.full(n, -far, np.int64), np.ones(n, bool)
-        shared = sc.broadcast(seen)
+    path, last, blocks = new_table(spark), -1, 0
+    while rows := numbered.where(F.col("q") > last).orderBy("q").limit(block).select("vec_id", "v", "q").collect():  # bounded, so it may be collected and broadcast
+        last, blocks, n = rows[-1][2], blocks + 1, len(rows)
+        far = int(max(max(abs(x) for r in rows for x in r[1]), 1)) * int(max(span[1] or 1, 1)) * int(span[0] or 1)
+        kind = np.int64 if far < WIDE / 4 else object
+        low, width = np.full(n, -far, kind), np.full(n, max(1, -(-(2 * far + 1) // bins)), kind)
+        above, least, open_ = np.zeros(n, np.int64), np.full(n, -far, kind), np.ones(n, bool)
+        shared = sc.broadcast(_Block(rows))
         while open_.any():
-            got = candidates.mapInArrow(_histograms(shared, low, width, bins), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toPandas()
+            got = candidates.mapInArrow(_histograms(shared, low, width, bins), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most block * bins rows
             counts = np.zeros((n, bins), np.int64)
             counts[got["q"].to_numpy(np.int64), got["bin"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
             for i in np.flatnonzero(open_):
@@ -152,15 +167,18 @@ def histogram_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, bins:
                     continue
                 above[i] = down[hit] - counts[i][at]
                 low[i], width[i] = least[i], max(1, -(-width[i] // bins))
-            low = np.where(open_, low, np.int64(2**62))  # settled queries take no part in the next pass
-        found = candidates.mapInArrow(_winners(shared, least, k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
-    if out is None:
+            low = np.where(open_, low, 4 * far + 1)  # settled queries take no part in the next pass
+        found = candidates.mapInArrow(_winners(shared, least, k), WINNERS).withColumn("block", F.lit(blocks))
+        found.write.mode("append").parquet(path)
+        shared.unpersist()
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    from pyspark.sql import Window
+    w = Window.partitionBy("block", "q").orderBy(F.desc("score"), F.asc("vec_id"))
+    out = spark.read.schema(f"{WINNERS}, block int").parquet(path).repartition(parts, "block", "q")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return out.repartition(parts, "query_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+WINNERS = "q long, query_id long, vec_id long, score long"
 
 
 def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

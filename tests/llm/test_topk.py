@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from sigmill.llm.histogram_topk import histogram_topk, quantized
+from sigmill.llm.histogram_topk import histogram_topk, op10_histogram_topk, quantized
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -39,3 +40,27 @@ def test_few_candidates_and_none(spark):
     assert len(histogram_topk(v.where("vec_id % 50 = 0"), v).collect()) == 4
     none = quantized(spark.createDataFrame([], SCHEMA))
     assert histogram_topk(none, none).count() == 0
+
+
+def test_every_finite_vector_takes_part(spark):
+    """Components of 1e6 in 64 dimensions, and some whose products leave 64 bits where nobody wants them."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=64).round(2).tolist()) for i in range(120)]
+    rows += [(150, [1e6] * 64), (151, [1e6] * 64), (152, [-3e30] * 64), (153, [float(2**60)] + [-1.0] * 63)]
+    v = quantized(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = sorted(map(tuple, histogram_topk(v.where("vec_id = 0 or vec_id = 150"), v.where("vec_id < 152")).collect()))
+    assert got == brute(rows[:-2], lambda i: i in (0, 150)) and (150, 1, 151, 256_000_000**2 * 64) in got
+    last = [float(2**60)] + [-1.0] * 63
+    small = [(0, [0.0] * 64), (1, last), (2, [0.125] * 64), (3, [-3e30] * 64)]
+    v = quantized(spark.createDataFrame(small, SCHEMA))
+    assert sorted(map(tuple, histogram_topk(v.where("vec_id = 0"), v).collect())) == brute(small, lambda i: i == 0)
+    with pytest.raises(Exception, match="verflow|too (large|big)|out of bounds|int"):
+        histogram_topk(v.where("vec_id = 3"), v).collect()
+
+
+def test_repeated_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(0, [1.0, 2.0], 5, "x")] * 40 + [(0, [2.0, 1.0], 5, "x")] + [(i, [i / 9, 1.0], i, "y") for i in range(1, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, q long, block string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = op10_histogram_topk(spark, str(tmp_path)).collect()
+    assert len(got) == 15 and sorted(r["rank"] for r in got if r.query_id == 0) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert all(r.vec_id != r.query_id for r in got)
