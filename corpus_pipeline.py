@@ -15,7 +15,10 @@ from sigmill.llm.poisson_mix import poisson_mix
 from sigmill.llm.pow2_packing import pow2_packing
 from sigmill.llm.suffix_dedup import without_repeats
 from sigmill.llm.toxicity_knn import fit, learnable, score
+from sigmill.sources.store import drop_tables, tables_written
 
+#: Bytes of a string that is removed where it repeats: under those of nearly any passage of 50 words, over those of common phrases.
+LENGTH, GRAM = 240, 80
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5, by a model of the labels' learning folds."""
@@ -29,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start more than once."""
-    return without_repeats(docs)
+    """Texts without the strings of LENGTH bytes that start more than once."""
+    return without_repeats(docs, length=LENGTH, gram=GRAM)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    mark = tables_written(spark)
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_tables(spark, mark)  # the stage's own tables; its result is written
     return docs
