@@ -78,13 +78,14 @@ def test_run_equals_brute_force(spark, folder):
     root = {(i, n): c for i, n, c in near([r[:2] for r in rows], 5, 80)}
     rows = list({r[:2]: r for r in rows if root[r[0], len(shingles(r[1], 5))] == r[0]}.values())
     seqs = [(t or "").encode() for _, t, _ in rows]
-    seen = Counter(s[i : i + 400] for s in seqs for i in range(len(s) - 399))
+    size = corpus_pipeline.LENGTH
+    seen = Counter(s[i : i + size] for s in seqs for i in range(len(s) - size + 1))
     left = []
     for s in seqs:
         drop = [False] * len(s)
-        for i in range(len(s) - 399):
-            if seen[s[i : i + 400]] > 1:
-                drop[i : i + 400] = [True] * 400
+        for i in range(len(s) - size + 1):
+            if seen[s[i : i + size]] > 1:
+                drop[i : i + size] = [True] * size
         left.append(bytes(b for b, d in zip(s, drop) if not d).decode(errors="ignore"))
     sizes = Counter(r[2] for r in rows)
     whole = sum(math.sqrt(n) for n in sizes.values())
