@@ -19,7 +19,8 @@ window are cuts; where more are as large, it counts as motion. Clips are the run
 frame rate.
 
 Null and empty payloads are 192 spaces, one frame. Work is row by row, no shuffle; memory follows the longest
-payload. Damaged files raise ValueError.
+payload, and an AVI of over 4 GB, which its 32-bit sizes can't state, is an error. Repeated rows give equal rows. An empty
+table gives an empty result. Damaged files raise ValueError.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table, text_buffer
+from .common import slices, small_batches, table, text_buffer
 
 ACROSS, DOWN = 16, 12
 UNIT = ACROSS * DOWN
@@ -303,13 +304,22 @@ def store_media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             off, raw = text_buffer(batch.column(1))
             data = raw.tobytes()
-            for i in range(0, batch.num_rows, 200):
-                j = min(i + 200, batch.num_rows)
+            for i, j in slices(off, 1 << 22):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([write_avi(pad(data[off[r] : off[r + 1]])) for r in range(i, j)], pa.binary())], ["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
+CLIP = ("clip", "first_frame", "frames", "start_s", "end_s")
+CLIP_TYPE = "clip: bigint, first_frame: bigint, frames: bigint, start_s: double, end_s: double"
+
+
+def _clip_rows(cuts: np.ndarray, frames: int, pace: float) -> list[tuple]:
+    """One row, as of CLIP, for each shot."""
+    ends = np.append(cuts[1:], frames)
+    return list(zip(range(len(cuts)), cuts.tolist(), (ends - cuts).tolist(), (cuts * pace).tolist(), (ends * pace).tolist()))
+
+
 def clips(media: DataFrame) -> DataFrame:
     """One row a shot of each AVI in column media: doc_id, clip, first_frame, frames, start_s, end_s."""
 
@@ -319,10 +329,10 @@ def clips(media: DataFrame) -> DataFrame:
                 if avi is None:
                     continue
                 payload, pace, cuts = read_payload(avi)
-                ends = np.concatenate([cuts[1:], [len(payload) // UNIT]])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * len(cuts), pa.int64()), "clip": pa.array(np.arange(len(cuts)), pa.int64()), "first_frame": pa.array(cuts, pa.int64()), "frames": pa.array(ends - cuts, pa.int64()), "start_s": pa.array(cuts * pace), "end_s": pa.array(ends * pace)})
+                rows = list(zip(*_clip_rows(cuts, len(payload) // UNIT, pace)))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(cuts), pa.int64()), *(pa.array(c) for c in rows)], ["doc_id", *CLIP])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip long, first_frame long, frames long, start_s double, end_s double")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, " + CLIP_TYPE)
 
 
 def _digest(raw: bytes) -> tuple:
@@ -331,14 +341,16 @@ def _digest(raw: bytes) -> tuple:
     frames = np.frombuffer(payload, np.uint8)
     marks = zlib.crc32(cuts.astype("<i8").tobytes())
     feature = f"frames={len(payload) // UNIT};shots={len(cuts)};longest={int(np.diff(np.append(cuts, len(payload) // UNIT)).max())};cuts={marks:08x};mean={frames.mean():.6f};seconds={len(payload) // UNIT * pace:.2f}"
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature
+    rows = [dict(zip(CLIP, c)) for c in _clip_rows(cuts, len(payload) // UNIT, pace)]
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature, rows
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Write each text's AVI, read it back, and return the digests of what was read."""
+    """Write each text's AVI, read it back, and return the digests of what was read, and its shots as timed clips."""
     small_batches(docs.sparkSession)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    clip = pa.struct([(c, pa.float64() if c.endswith("_s") else pa.int64()) for c in CLIP])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(clip)]
 
     def run(batches):
         for batch in batches:
@@ -349,7 +361,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 rows = [_digest(data[off[r] : off[r + 1]]) for r in range(i, j)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<" + CLIP_TYPE + ">>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, schema)
 
 

@@ -74,6 +74,8 @@ def test_query_digests_and_clips(odd_docs, no_docs):
             assert by.setdefault(texts[r.doc_id], (r.media_sha256, r.media_bytes, r.feature)) == (r.media_sha256, r.media_bytes, r.feature)
     clips = M.clips(M.store_media(odd_docs.where("doc_id = 20"))).orderBy("clip").collect()
     assert clips[0].first_frame == 0 and sum(c.frames for c in clips) == len(M.pad(texts[20].encode())) // 192
+    digested = next(r for r in got if r.doc_id == 20)
+    assert [tuple(c) for c in digested.clips] == [tuple(c)[1:] for c in clips] and f"shots={len(clips)};" in digested.feature
     assert M.media_digests(no_docs).count() == 0
 
 
