@@ -45,14 +45,14 @@ def tables_written(spark: SparkSession) -> int:
     return len(_written.get(spark.sparkContext.applicationId, []))
 
 
-def drop_tables(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables that new_table() and materialized() have made since the mark. Frames made from them can't be read any more,
-    so call it when results have been written."""
+def drop_tables(spark: SparkSession, since: int = 0, before: int | None = None) -> None:
+    """Delete the tables that new_table() and materialized() have made from one mark to another. Frames made from them can't
+    be read any more, so call it when what is made of them has been written."""
     paths = _written.get(spark.sparkContext.applicationId, [])
-    for path in paths[since:]:
+    for path in paths[since:before]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del paths[since:]
+    del paths[since:before]
 
 
 def content_key(df: DataFrame) -> str:
