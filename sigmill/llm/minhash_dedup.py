@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, slices, small_batches, table, text_buffer
-from .repeats import STEP, Sums, mixed, word_units
+from .repeats import STEP, Sums, marked, marks_of, mixed, word_units
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 4, 32, 5, 80
 #: A set's bit map has 4 bits a shingle at least, in a power of two of 64-bit words, LEAST_WORDS at least.
@@ -197,37 +197,14 @@ def _scan(shingle, bands, rows):
     return run
 
 
-#: At most so many bits mark the wanted ids; beyond about as many ids the map lets all texts pass, and the join decides.
-MOST_BITS = 1 << 26
-
-
-def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
-    return mixed(ids.astype(np.int64).view(np.uint64), 60) & np.uint64(bits - 1)
-
-
-def _marks(bits):
-    """(word, mark) for the ids of a partition."""
-
-    def run(batches):
-        marks = np.zeros(bits // 64, np.uint64)
-        for batch in batches:
-            at = _slot(batch.column(0).to_numpy(), bits)
-            np.bitwise_or.at(marks, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        word = np.flatnonzero(marks)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(marks[word].view(np.int64))], ["word", "mark"])
-
-    return run
-
-
-def _sets(shingle, marks, bits):
+def _sets(shingle, marks):
     """(id, grams) of the marked ids, each once a task."""
 
     def run(batches):
-        wanted, seen = marks.value, set()
+        seen = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            at = _slot(ids, bits)
-            hit = (wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = marked(ids, marks.value)
             for i in np.flatnonzero(hit).tolist():
                 hit[i] = ids[i] not in seen
                 seen.add(ids[i])
@@ -246,12 +223,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) ->
     equal texts. No aggregate follows the joins, so that AQE may split a hub's rays."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(wanted)
-    bits = 1 << min(max(16 * wanted.count(), 64).bit_length(), MOST_BITS.bit_length() - 1)
-    marks = np.zeros(bits // 64, np.uint64)
-    got = wanted.mapInArrow(_marks(bits), "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()  # at most bits / 64 rows
-    marks[got["word"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
-    shared = texts.sparkSession.sparkContext.broadcast(marks)
-    sets = materialize(texts.select("id", "text").mapInArrow(_sets(shingle, shared, bits), "id long, grams array<long>").dropDuplicates(["id"]).join(wanted, "id"))
+    shared = marks_of(wanted)
+    sets = materialize(texts.select("id", "text").mapInArrow(_sets(shingle, shared), "id long, grams array<long>").dropDuplicates(["id"]).join(wanted, "id"))
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("same"))

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.store import drop_tables, tables_written
 from .common import NO_ID, keyed, materialize, slices, small_batches, text_buffer
 
 U = np.uint64
@@ -40,6 +41,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one set of arrays covers; a longer document is taken alone.
 STEP = 1 << 20
+#: Different runs that a bucket may have if one task is to sort it: a few MB of text.
+HOT = 4096
 PRIME = np.int64(2**31 - 1)
 #: Bases of the two sums modulo PRIME.
 PRIME_BASES = (1_103_515_245, 48_271_977)
@@ -266,6 +269,51 @@ def _rescan(unit: str, window: int, gram: int):
     return run
 
 
+#: At most so many bits mark wanted ids; beyond about as many ids the map lets all pass, and the join decides.
+MOST_BITS = 1 << 26
+
+
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return mixed(ids.astype(np.int64).view(U), 60) & U(bits - 1)
+
+
+def _marks(bits):
+    """(word, mark) for the ids of a partition."""
+
+    def run(batches):
+        marks = np.zeros(bits // 64, U)
+        for batch in batches:
+            at = _slot(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(marks, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+        word = np.flatnonzero(marks)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(marks[word].view(np.int64))], ["word", "mark"])
+
+    return run
+
+
+def marks_of(wanted: DataFrame):
+    """A broadcast bit map, of bounded size, of the ids in the one column of a table."""
+    bits = 1 << min(max(16 * wanted.count(), 64).bit_length(), MOST_BITS.bit_length() - 1)
+    marks = np.zeros(bits // 64, U)
+    got = wanted.mapInArrow(_marks(bits), "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()  # at most bits / 64 rows
+    marks[got["word"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(U)
+    return wanted.sparkSession.sparkContext.broadcast(marks)
+
+
+def marked(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which ids may be in the map; all that are wanted are."""
+    at = _slot(ids, 64 * len(marks))
+    return (marks[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+
+
+def _only(marks):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(batch.column(1).to_numpy(), marks.value)))
+
+    return run
+
+
 def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
     """Whole buckets of about most bytes at a time to (k, th, place) of the windows that repeat in them."""
 
@@ -313,18 +361,25 @@ def _buckets(window: int, count_bucket: Callable, most: int = 1 << 20):
 
 def _found(runs: DataFrame, hot: int) -> DataFrame:
     """(mh, k, th, place, copied, compare, hot) of the runs that are copies, or one of several kinds in their bucket."""
+    spark = runs.sparkSession
+    start = tables_written(spark)
     runs = materialize(runs)
     shared = materialize(runs.groupBy("mh").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("mh"))  # a table, so that AQE may split hot buckets in the join
+    middle = tables_written(spark)
     alive = materialize(runs.join(shared, "mh"))
+    drop_tables(spark, start, middle)
     copies = materialize(alive.groupBy("mh", "dg", "dg2").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("k", "th", "place")).alias("rep")))
     kinds = materialize(copies.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     known = alive.join(copies, ["mh", "dg", "dg2"]).join(kinds, "mh", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     one = (F.col("c") == 1) | (F.xxhash64("k", "th", "place") == F.col("rep"))
     known = known.select("mh", "k", "th", "place", (F.col("c") > 1).alias("copied"), ((F.col("kinds") > 1) & one).alias("compare"), (F.col("kinds") > hot).alias("hot"))
-    return materialize(known.where("copied or compare"))
+    end = tables_written(spark)
+    found = materialize(known.where("copied or compare"))
+    drop_tables(spark, start, end)
+    return found
 
 
-def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = 512, keep_rows: bool = False) -> DataFrame:
+def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_bucket: Callable, hot: int = HOT, keep_rows: bool = False) -> DataFrame:
     """k, th, text (null as empty), spans (the repeated windows' (first, n), null if none) and, with keep_rows, docs' columns in struct ``row``."""
     if not 0 < gram <= window or window - gram >= 1024:
         raise ValueError("gram must be 1 to window, and less than 1024 under window")
@@ -336,15 +391,17 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, count_b
         found = _found(runs, hot if grams else 2**62)
         parts.append(found.where("copied").select("k", "th", "place"))
 
-        def with_text(which):
+        def with_text(which, rows=texts):
             lists = found.where(which).groupBy("k", "th").agg(F.collect_set(F.struct("mh", "place")).alias("runs"))  # a set: repeated rows have the same places
-            return texts.join(lists, ["k", "th"]).select("k", "th", "text", "runs")
+            return rows.join(lists, ["k", "th"]).select("k", "th", "text", "runs")
 
         packed = with_text("compare and not hot").mapInArrow(_cut(unit, window), "mh long, k long, th long, place long, packed binary")
         parts.append(packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(_buckets(window, count_bucket), "k long, th long, place long"))
         if not grams or not found.where("compare and hot").limit(1).count():
             break
-        runs = with_text("compare and hot").mapInArrow(_rescan(unit, window, grams.pop(0)), RUN)
+        wanted = materialize(found.where("compare and hot").select("th").distinct())
+        few = texts.mapInArrow(_only(marks_of(wanted)), "k long, th long, text string")  # other texts aren't sent again
+        runs = with_text("compare and hot", few).mapInArrow(_rescan(unit, window, grams.pop(0)), RUN)
     parts = reduce(DataFrame.union, parts)
     spans = parts.groupBy("k", "th").agg(F.collect_set(F.struct(F.expr(FIRST).alias("first"), F.expr(COUNT).alias("n"))).alias("spans"))
     if not keep_rows:  # the same columns as above, so that one exchange of the texts serves both joins

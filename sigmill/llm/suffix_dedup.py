@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import NO_ID, table
-from .repeats import covered, repeated_windows
+from .repeats import HOT, covered, repeated_windows
 
 LENGTH = 400
 GRAM = 128
@@ -98,14 +98,14 @@ def _kept(length: int, texts: bool):
 FIELDS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 512, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept."""
     found = repeated_windows(docs.select("doc_id", "text"), "bytes", length, gram, count_strings(length), hot)
     out = found.select("text", "spans", "k").mapInArrow(_kept(length, keep_text), f"k long, {FIELDS}" + ", kept string" * keep_text)
     return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), *out.columns[1:])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 512) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs with each text's repeated strings removed and the other columns unchanged; null texts become empty."""
     found = repeated_windows(docs, "bytes", length, gram, count_strings(length), hot, keep_rows=True)
     out = found.select("text", "spans", "row").mapInArrow(_kept(length, True), f"row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, {FIELDS}, kept string")

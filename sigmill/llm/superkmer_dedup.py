@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import NO_ID, table
-from .repeats import Sums, covered, mixed, repeated_windows
+from .repeats import HOT, Sums, covered, mixed, repeated_windows
 
 WINDOW = 35
 GRAM = 8
@@ -72,7 +72,7 @@ def _kept(window: int, texts: bool):
     return run
 
 
-def superkmer_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 512, keep_text: bool = True) -> DataFrame:
+def superkmer_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept: the words left, joined by one space."""
     found = repeated_windows(docs.select("doc_id", "text"), "words", window, gram, count_windows(window), hot)
     rows = found.select("text", "spans", "k")
