@@ -18,8 +18,7 @@ lie in runs of the same bucket (the minimiser's hash), and never twice in one ru
    windows agree in these minimisers too. The last grams are whole windows, whose buckets hold one kind of run.
 
 Rows are known by doc_id and the text's 64-bit hash, so repeated rows and different texts under one id or none work; a
-row's places are kept once, however often the row is repeated. A text of any length is scanned whole, in arrays of its
-size, by one task.
+row's places are kept once, however often the row is repeated. A very long text is scanned whole, in overlapping parts.
 """
 
 from __future__ import annotations
@@ -39,8 +38,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_BACK = pow(BASE, -1, 2**64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes of text that one set of arrays covers; a longer document is taken alone.
-STEP = 1 << 20
+#: Bytes of text that one set of arrays covers; a longer document is taken alone, in parts that overlap by a window.
+STEP = 1 << 18
 #: Different runs that a bucket may have if one task is to sort it: a few MB of text.
 HOT = 4096
 PRIME = np.int64(2**31 - 1)
@@ -74,7 +73,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(20, int(n + 1).bit_length()))
+    return _powers(max(18, int(n + 1).bit_length()))
 
 
 class Sums:
@@ -107,7 +106,7 @@ class PrimeSums:
     """62-bit hashes of ranges of units by two prefix sums modulo 2**31 - 1, independent of those of Sums."""
 
     def __init__(self, u: np.ndarray):
-        bits = max(20, int(len(u) + 1).bit_length())
+        bits = max(18, int(len(u) + 1).bit_length())
         self.parts = []
         for shift, base in zip((0, 33), PRIME_BASES):
             pw, back = _prime_powers(bits, base)
@@ -131,9 +130,13 @@ def word_units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] &= ~word[1:]
     last[inner - 1] = word[inner - 1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    byte = BYTE_HASH[raw]
-    other = PrimeSums(byte).of(a, b).view(U)
-    return mixed(Sums(byte).of(a, b) ^ mixed(other, 12), 3), np.searchsorted(a, off)
+    u, i = np.zeros(len(a), U), 0
+    while i < len(a):  # words of about STEP bytes at a time
+        j = max(i + 1, int(np.searchsorted(b, a[i] + 4 * STEP, "right")))
+        byte, x, y = BYTE_HASH[raw[a[i] : b[j - 1]]], a[i:j] - a[i], b[i:j] - a[i]
+        u[i:j] = mixed(Sums(byte).of(x, y) ^ mixed(PrimeSums(byte).of(x, y).view(U), 12), 3)
+        i = j
+    return u, np.searchsorted(a, off)
 
 
 def byte_units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +196,27 @@ def _scan(unit: str, window: int, gram: int):
             k = batch.column(0).to_numpy()
             th = batch.column(1).to_numpy()
             for i, j in slices(off, STEP):
-                u, uoff = UNITS[unit](raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                t, a, n, mh, dg, dg2 = find_runs(u, uoff, window, gram)
-                if len(t):
-                    yield _listed(mh, dg, dg2, k[i:j][t], th[i:j][t], place(a, n))
+                for first, u, uoff in _parts(unit, raw[off[i] : off[j]], off[i : j + 1] - off[i], window):
+                    t, a, n, mh, dg, dg2 = find_runs(u, uoff, window, gram)
+                    if len(t):
+                        yield _listed(mh, dg, dg2, k[i:j][t], th[i:j][t], place(first + a, n))
 
     return run
 
 
+def _parts(unit: str, raw: np.ndarray, off: np.ndarray, window: int):
+    """(first unit, units, offsets) of texts of about STEP bytes together, or of each part of one longer text. A run that a
+    part's end cuts in two is two runs; the windows are the same."""
+    if len(raw) <= 2 * STEP:
+        yield 0, *UNITS[unit](raw, off)
+        return
+    units = raw if unit == "bytes" else word_units(raw, off)[0]
+    size = STEP if unit == "bytes" else STEP // 4
+    for i in range(0, len(units) - window + 1, size):
+        part = units[i : i + size + window - 1]
+        yield i, (BYTE_HASH[part] if unit == "bytes" else part), np.array([0, len(part)])
+
+
 RUN = "mh long, dg long, dg2 long, k long, th long, place long"
 
 

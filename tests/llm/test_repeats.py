@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmill.llm.repeats import repeated_windows, word_units
+from sigmill.llm.repeats import STEP, repeated_windows, word_units
 from sigmill.llm.suffix_dedup import refine_buckets, suffix_dedup, without_repeats
 from sigmill.llm.superkmer_dedup import count_windows, superkmer_dedup
 
@@ -120,3 +120,16 @@ def test_hot_buckets_are_split_exactly(spark):
 def test_parameters_that_places_cannot_hold(no_docs):
     with pytest.raises(ValueError):
         superkmer_dedup(no_docs, 1100, 8)
+
+
+def test_texts_longer_than_a_step(spark):
+    rng = np.random.default_rng(3)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**7, 90_000)) for _ in range(3)]
+    page = " ".join(f"p{x}" for x in rng.integers(0, 10**7, 100))
+    a = own[0] + " " + page + " " + own[1]
+    docs = spark.createDataFrame([(1, a), (2, f"{own[2]} {page} {own[2][:30]}"), (3, a)], "doc_id long, text string")
+    assert len(a) > 4 * STEP
+    got = {r.doc_id: r.n_removed for r in superkmer_dedup(docs, keep_text=False).collect()}
+    assert got == {1: 180_100, 2: 100, 3: 180_100}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(docs, keep_text=False).collect()}
+    assert got[1] == got[3] == len(a) and len(page) <= got[2] <= len(page) + 4
