@@ -38,8 +38,8 @@ from .common import materialize, slices, small_batches, table, text_buffer
 from .repeats import STEP, Sums, marked, marks_of, mixed, word_units
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 4, 32, 5, 80
-#: A set's bit map has 4 bits a shingle at least, in a power of two of 64-bit words, LEAST_WORDS at least.
-LEAST_WORDS = 8
+#: A set's bit map has 8 bits a shingle at least, in a power of two of 64-bit words, LEAST_WORDS at least.
+LEAST_WORDS = 32
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -99,7 +99,7 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def bit_maps(h: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One bit for each shingle, at its hash: the texts' maps one after another, and each map's range of words."""
     n = np.diff(soff)
-    words = np.exp2(np.ceil(np.log2(np.maximum(n / 16, LEAST_WORDS)))).astype(np.int64)
+    words = np.exp2(np.ceil(np.log2(np.maximum(n / 8, LEAST_WORDS)))).astype(np.int64)
     off = np.concatenate([[0], np.cumsum(words)])
     at = (mixed(h, 50) & np.repeat(64 * words - 1, n).astype(np.uint64)).astype(np.int64)
     out = np.zeros(off[-1], np.uint64)
@@ -265,7 +265,7 @@ def _placed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     links = confirm(materialize(done), texts, shingle, threshold)
     roots = components(links)
     placed = buckets.where("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    work = F.sum(F.greatest(F.col("n") / 8, F.lit(2 * LEAST_WORDS)))  # words of the bucket's maps, at most
+    work = F.sum(F.greatest(F.col("n") / 4, F.lit(LEAST_WORDS)))  # words of the bucket's maps, at most
     alike = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), work.alias("work"), *alike).where("r0 <> r1")
     split = split.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.max("work").alias("work")).select("key", "work")  # of buckets with the same nodes, one
