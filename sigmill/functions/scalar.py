@@ -171,3 +171,32 @@ def latin_hypercube_points(spark, n: int, totals: list[float], starts: list[floa
         stratum = F.row_number().over(Window.orderBy(hashed_uniform(seed + 101 * q, "id"), "id")) - 1  # n points are few
         out = out.withColumn(f"p{q}", a + (b - a) * (stratum + hashed_uniform(seed + 7 + 31 * q, "id")) / n)
     return out
+
+
+def formatted(form: str, *cols) -> Column:
+    """printf of columns."""
+    return F.format_string(form, *[c_(c) for c in cols])
+
+
+def _trimmed(text: Column) -> Column:
+    cut = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+    return F.when(F.instr(text, ".") == 0, text).when(cut == "", "0").otherwise(cut)
+
+
+def decimal_label(c) -> Column:
+    """Six decimals without trailing zeros."""
+    return _trimmed(F.format_string("%.6f", c_(c).cast("double")))
+
+
+def scientific_label(c) -> Column:
+    """Four decimals of the mantissa without trailing zeros, 'e' and the exponent; 0 is '0'."""
+    text = F.format_string("%.4e", c_(c).cast("double"))
+    parts = F.split(text, "e")
+    return F.when(c_(c) == 0, "0").otherwise(F.concat(_trimmed(parts[0]), F.lit("e"), parts[1].cast("int").cast("string")))
+
+
+def tick_labels(df, col: str, to: str = "label"):
+    """Labels of a column of ticks: all in scientific form if any is 1e4 or more, or under 1e-2 and not 0, in size."""
+    size = F.abs(F.col(col))
+    odd = df.agg(F.coalesce(F.bool_or((size >= 1e4) | ((size > 0) & (size < 1e-2))), F.lit(False)).alias("_odd"))
+    return df.crossJoin(F.broadcast(odd)).withColumn(to, F.when(F.col("_odd"), scientific_label(col)).otherwise(decimal_label(col))).drop("_odd")

@@ -116,11 +116,18 @@ class Compressed:
 
 
 def compress_rows(df: DataFrame, vec: str, key: str, ks: list[int], repeats: int = 2) -> Compressed:
-    """Rows to the clusters of the k with the best mean silhouette (squared Euclidean)."""
+    """Rows to the clusters of the k with the best mean silhouette (squared Euclidean). Missing values count as the mean of
+    their place, 0 if it has no value; rows without any value are in cluster 0."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    real = df.where(F.exists(vec, lambda x: x.isNotNull()))
+    there = lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
+    real = df.where(F.exists(vec, there))
+    if real.where(F.exists(vec, lambda x: ~there(x))).limit(1).count():
+        clean = F.transform(vec, lambda x: F.when(there(x), x.cast("double")))
+        means = real.select(F.posexplode(clean).alias("pos", "v")).groupBy("pos").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("a"))
+        means = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]).alias("_means"))  # one value a place
+        real = real.crossJoin(F.broadcast(means)).withColumn(vec, F.zip_with(clean, "_means", lambda x, a: F.coalesce(x, a))).drop("_means")
     data = _vectors(real, vec).cache()
     best = None
     for k in ks:

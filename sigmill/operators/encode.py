@@ -38,3 +38,14 @@ def level_types(df: DataFrame, cols: list[str], key: str, levels: tuple[float, .
     coded = df.select(key, F.concat_ws("", *[level(c).cast("string") for c in cols]).alias("code"))
     types = levels_in_order(coded, "code", key).withColumnsRenamed({"value": "code", "level": "type"})
     return coded.join(types, "code").select(key, "code", "type")
+
+
+def type_colors(df: DataFrame, col: str, colors: list[str], other: str = "gray", to: str = "color") -> DataFrame:
+    """A color for each row by its type, types in sorted order; with more types than colors all are other."""
+    found = sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(len(colors) + 1).collect())
+    if len(found) > len(colors):
+        return df.withColumn(to, F.lit(other))
+    color = F.lit(None).cast("string")
+    for value, name in zip(found, colors):
+        color = F.when(F.col(col) == F.lit(value), name).otherwise(color)
+    return df.withColumn(to, color)

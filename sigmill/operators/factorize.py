@@ -67,6 +67,8 @@ def single_run(x: np.ndarray, k: int, seed: int, o: Options, w=None, h=None) ->
     kw = dict(o.kernel)
     if o.method == "multiplicative":
         w_, h_, _ = K.multiplicative(data, k, seed, w, h, max_iter=o.max_iter, **kw)
+    elif o.method == "squares":
+        w_, h_, _ = K.squares(data, k, seed, w, h, max_iter=o.max_iter, **kw)
     elif o.method == "sparse":
         w_, h_, _ = K.sparse(data, k, seed, max_iter=o.max_iter, **kw)
     elif o.method == "alternating":
@@ -157,6 +159,20 @@ def chosen_ks(found: DataFrame, cutoff: float = 0.5, also: list[int] | None = No
     return sorted(good)
 
 
+def ks_by_factor(found: DataFrame, places: list[int], cutoff: float = 0.5, by_w: bool = False, also: list[int] | None = None, robustness: float = 0.5, strict: bool = True) -> list[int]:
+    """The acceptable ks and those in which a signal's share (of its own largest) at one of the places is over the cutoff:
+    places of columns of H, or with by_w of rows of W. Of a single k only its robustness counts."""
+    ks = chosen_ks(found, robustness, also, strict)
+    rows = found.select("k", "w" if by_w else "h").collect()
+    if len(rows) > 1:
+        for r in rows:
+            f = np.array(r[1], float).T if by_w else np.array(r[1], float)
+            share = f / np.maximum(f.max(axis=1, keepdims=True), 1e-300)
+            if (share[:, places] > cutoff).any():
+                ks.append(r["k"])
+    return sorted(set(ks))
+
+
 def with_choice(found: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """(k, fit, robustness, aic, chosen)."""
     last = found.agg(F.max(F.when(F.col("robustness") > cutoff, F.col("k"))).alias("_k"))

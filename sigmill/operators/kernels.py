@@ -66,6 +66,30 @@ def multiplicative(x, k, seed=0, w=None, h=None, fix_w=False, fix_h=False, max_i
     return w, h, residual(raw, w, h)
 
 
+def squares(x, k, seed=0, w=None, h=None, fix_w=False, fix_h=False, max_iter=2000, tol=1e-19, small=1e-12):
+    """Multiplicative updates for the squared error; missing cells are refilled from the current product. Stops where ten
+    iterations gain less than ``small`` of the error."""
+    raw = np.array(x, float)
+    x, gap = prepared(raw)
+    rng = np.random.default_rng(seed)
+    w = rng.random((x.shape[0], k)) if w is None else np.array(w, float)
+    h = rng.random((k, x.shape[1])) if h is None else np.array(h, float)
+    last = np.inf
+    for i in range(1, max_iter + 1):
+        if gap.any():
+            x[gap] = (w @ h)[gap]
+        if not fix_h:
+            h *= (w.T @ x) / np.maximum(w.T @ w @ h, 1e-300)
+        if not fix_w:
+            w *= (x @ h.T) / np.maximum(w @ (h @ h.T), 1e-300)
+        if i % 10 == 0:
+            now = residual(raw, w, h) ** 2
+            if now < tol or last - now < small * now:
+                break
+            last = now
+    return w, h, residual(raw, w, h)
+
+
 def sparse(x, k, seed=0, divergence="ed", sparsity=1.0, max_iter=1000, tol=1e-10, w=None, h=None):
     """Beta-divergence updates ('kl', 'ed', 'is') with an L1 weight on H and W's columns of length 1."""
     beta = {"is": 0.0, "kl": 1.0, "ed": 2.0}[divergence] if isinstance(divergence, str) else float(divergence)
@@ -74,7 +98,8 @@ def sparse(x, k, seed=0, divergence="ed", sparsity=1.0, max_iter=1000, tol=1e-10
     rng = np.random.default_rng(seed)
     w = rng.random((x.shape[0], k)) if w is None else np.array(w, float)
     h = rng.random((k, x.shape[1])) if h is None else np.array(h, float)
-    w /= np.sqrt((w * w).sum(axis=0))
+    length = np.sqrt((w * w).sum(axis=0))
+    w, h = w / length, h * length[:, None]
     last = np.inf
     for _ in range(max_iter):
         v = np.maximum(w @ h, 1e-9)

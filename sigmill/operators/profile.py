@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import missing as m
+from ..sources.store import materialized
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, low_count: int = 5, skew_cutoff: float = 1.0) -> DataFrame:
@@ -61,17 +62,54 @@ def bad_slices(cells: DataFrame, axis: str, predicate: Column | None = None, cut
     return c.where(F.col("n") > cutoff if good else F.col("n") <= cutoff).select(axis)
 
 
-def robust_cells(cells: DataFrame, axes: list[str], cutoff: int = 0, predicate: Column | None = None, most_rounds: int = 50) -> DataFrame:
-    """Cells left after slices with cutoff or fewer valid cells are dropped, along each axis, until none is."""
+def robust_cells(cells: DataFrame, axes: list[str], cutoff: int = 0, predicate: Column | None = None) -> DataFrame:
+    """Cells left after slices with cutoff or fewer valid cells are dropped, along each axis, until none is. Each round drops
+    a cell at least; its result is written to the shared folder, so that the plan doesn't grow."""
     before = -1
-    for _ in range(most_rounds):
+    while True:
         for a in axes:
             cells = cells.join(bad_slices(cells, a, predicate, cutoff, good=True), a, "left_semi")
+        cells = materialized(cells)
         now = cells.count()
         if now == before:
-            break
+            return cells
         before = now
-    return cells
+
+
+def slice_masks(cells: DataFrame, axes: list[str], sizes: dict[str, int], predicate: Column | None = None, cutoff: int = 0, good: bool = False) -> DataFrame:
+    """(axis, place, masked) for every place of every axis (name: size): whether cutoff or fewer cells there are valid (with
+    good: whether more are). Places without any cell have none."""
+    out = None
+    for a in axes:
+        every = cells.sparkSession.range(sizes[a]).select(F.col("id").alias("place"))
+        n = F.coalesce("n", F.lit(0))
+        counts = entry_counts(cells, a, predicate).select(F.col(a).cast("long").alias("place"), "n")
+        part = every.join(counts, "place", "left").select(F.lit(a).alias("axis"), "place", (n > cutoff if good else n <= cutoff).alias("masked"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def robust_matrix(df: DataFrame, cols: list[str], low_count: int = 0, correlation: float | None = 0.99, priority: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(rows left, [(dropped column, why)]): rows without any value and columns that are missing, low, zeros, constant, text,
+    dates, the same as or correlated with an earlier one are dropped until no more are."""
+    cols, gone = list(cols), []
+    kinds = dict(df.dtypes)
+    while cols:
+        filled = F.greatest(*[(F.length(F.col(c)) > 0 if kinds[c] == "string" else F.col(c).isNotNull() if kinds[c][:4] in ("date", "time") else m.value(c).isNotNull()).cast("int") for c in cols], F.lit(0))
+        df = df.where(filled == 1)
+        bad = {}
+        for r in profile(df, cols, low_count).collect():
+            why = next((w for w in ("missing", "low", "zeros", "constant") if r[w]), None) or (r["kind"] if r["kind"] != "number" else None)
+            if why:
+                bad[r["name"]] = why
+        if correlation is not None:
+            left = [c for c in cols if c not in bad]
+            bad |= {c: why for c, _, why in (redundant_columns(df, left, correlation, [c for c in priority or [] if c in left]) if len(left) > 1 else [])}
+        if not bad:
+            break
+        gone += sorted(bad.items())
+        cols = [c for c in cols if c not in bad]
+    return df, gone
 
 
 def record_range(cells: DataFrame, axis: str, along: str, predicate: Column) -> DataFrame:

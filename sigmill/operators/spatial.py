@@ -43,8 +43,9 @@ def inverse_distance(points: DataFrame, grid: DataFrame, x: str, y: str, z: str,
     return pairs.groupBy("i", "j", "gx", "gy").agg(F.coalesce(exact, F.sum(weight * F.col(z)) / F.sum(weight)).alias("value"))
 
 
-def nearest_spacing(points: DataFrame, x: str, y: str, key: str, cells: int = 64, quantile: float = 0.5) -> DataFrame:
-    """(spacing): a quantile of the distance to the nearest other point, by a join on neighbouring grid cells, which widens for points without one."""
+def nearest_distances(points: DataFrame, x: str, y: str, key: str, cells: int = 64) -> DataFrame:
+    """(k, d): each point's distance to the nearest other one, by a join on neighbouring grid cells, which widens until it
+    covers all of them for the points that are left. A single point has none."""
     box = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     at = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).crossJoin(F.broadcast(box))
     size = F.greatest((F.col("x1") - F.col("x0")) / cells, (F.col("y1") - F.col("y0")) / cells, F.lit(1e-12))
@@ -58,9 +59,35 @@ def nearest_spacing(points: DataFrame, x: str, y: str, key: str, cells: int = 64
         found = sure if found is None else found.union(sure)
         left = left.join(sure, "k", "left_anti")
         reach *= 4
-        if reach > cells or not left.limit(1).count():
-            break
-    return found.agg(F.percentile("d", quantile).alias("spacing"))
+        if not left.limit(1).count():
+            return found
+        if reach > 2 * cells:  # the last join covered every cell
+            return found.union(left.join(near, "k").select("k", "d"))
+
+
+def nearest_spacing(points: DataFrame, x: str, y: str, key: str, cells: int = 64, quantile: float = 0.5) -> DataFrame:
+    """(spacing): a quantile of the distance to the nearest other point."""
+    return nearest_distances(points, x, y, key, cells).agg(F.percentile("d", quantile).alias("spacing"))
+
+
+#: Coordinate ranges in degrees at zoom 19, 18, .. 0.
+ZOOM_RANGES = (0.0007, 0.0014, 0.003, 0.006, 0.012, 0.024, 0.048, 0.096, 0.192, 0.3712, 0.768, 1.536, 3.072, 6.144, 11.8784, 23.7568, 47.5136, 98.304, 190.0544, 360.0)
+
+
+def zoom_level(df: DataFrame, x: str, y: str) -> float:
+    """The zoom at which the points' larger side fits, linear between the ranges; outside them an error."""
+    r = df.agg((F.max(m.value(x)) - F.min(m.value(x))).alias("a"), (F.max(m.value(y)) - F.min(m.value(y))).alias("b")).first()
+    side = max(v for v in (r["a"], r["b"]) if v is not None)
+    if not ZOOM_RANGES[0] <= side <= ZOOM_RANGES[-1]:
+        raise ValueError(f"no zoom for a range of {side} degrees")
+    return float(np.interp(side, ZOOM_RANGES, np.arange(19.0, -1, -1)))
+
+
+def dot_size(df: DataFrame, x: str, y: str, zoom: float) -> float:
+    """3 and half of the mean distance to the nearest other place times zoom cubed, rounded up."""
+    places = df.where(m.value(x).isNotNull() & m.value(y).isNotNull()).select(x, y).distinct().withColumn("_key", F.xxhash64(x, y))
+    mean = nearest_distances(places, x, y, "_key").agg(F.avg("d")).first()[0]
+    return 3 + math.ceil(mean * zoom**3) / 2
 
 
 def in_polygon(x, y, corners: list[tuple[float, float]]):
@@ -162,12 +189,29 @@ def round_number(v: float, nearest: bool) -> float:
     return 10 * power
 
 
-def round_bounds(low: float, high: float, ticks: int = 5) -> tuple[float, float]:
-    """Bounds at round steps around [low, high]."""
-    if low == high:
-        return low - 0.5, high + 0.5
-    step = round_number(round_number(high - low, False) / max(ticks - 1, 1), True)
-    return math.floor(low / step) * step, math.ceil(high / step) * step
+def round_bounds(low: float, high: float, ticks: int = 5, keep_low: bool = False, keep_high: bool = False) -> tuple[float, float]:
+    """Bounds at round steps around [low, high], but for those to be kept; an empty range stays."""
+    if not (math.isfinite(low) and math.isfinite(high)) or high <= low:
+        return low, high
+    step = round_number(round_number(high - low, False) / (max(ticks, 2) - 1), True)
+    a, b = math.floor(low / step) * step, math.ceil(high / step) * step
+    b = a + step if b <= a else b
+    a, b = low if keep_low else a, high if keep_high else b
+    return a, a + step if b <= a else b
+
+
+def color_bounds(df: DataFrame, col: str, low: float | None = None, high: float | None = None, ticks: int = 5, nice: bool = True) -> tuple[float, float]:
+    """Bounds of a color scale: the stated ones, kept, or round ones around the values; an empty range is widened."""
+    got = df.agg(F.min(m.finite(col)).alias("a"), F.max(m.finite(col)).alias("b")).first()
+    known = lambda v: v is not None and math.isfinite(v)
+    keep_low, keep_high = known(low), known(high)
+    if not keep_low:
+        low = got["a"] if got["a"] is not None else high - max(1e-6, abs(high) * math.ulp(high)) if keep_high else 0.0
+    if not keep_high:
+        high = got["b"] if got["b"] is not None else low + 1.0
+    if high <= low:
+        high, keep_high = low + (max(1e-9, abs(low) * math.ulp(low))), False
+    return round_bounds(float(low), float(high), ticks, keep_low, keep_high) if nice else (float(low), float(high))
 
 
 def tick_values(low: float, high: float, count: int = 5) -> list[float]:

@@ -233,3 +233,71 @@ def axis_order(sizes: tuple[int, ...], target: tuple[int, ...]) -> list[int]:
         free.remove(i)
         out.append(i)
     return out
+
+
+def log10_safe(df: DataFrame, col: str, offset: float = 1.0) -> DataFrame:
+    """log10 of positive values, others offset under the smallest of them; if no value is positive, log10 of the sizes (0: -Infinity)."""
+    v = m.value(col)
+    logs = F.log10(F.when(v > 0, v))
+    stats = {"_least": F.min(logs)}
+    sizes = F.when(v == 0, F.lit(float("-inf"))).otherwise(F.log10(F.when(v != 0, F.abs(v))))
+    out = F.when(F.col("_least").isNull(), sizes).when(v > 0, logs).when(v.isNotNull(), F.col("_least") - offset)
+    return with_stats(df, stats).withColumn(col, out).drop("_least")
+
+
+def denormalize_rows(df: DataFrame, cols: list[str], low: str, high: str) -> DataFrame:
+    """Undo minmax_rows with each row's low and high; a row without spread has a range of 1."""
+    span = F.when(F.col(high) != F.col(low), F.col(high) - F.col(low)).otherwise(1.0)
+    return df.withColumns({c: m.value(c) * span + F.col(low) for c in cols})
+
+
+def slice_ranges(cells: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
+    """(axes.., low, high) of the cells in each slice, for denormalize_cells."""
+    return cells.groupBy(*axes).agg(m.smallest(value).alias("low"), m.largest(value).alias("high"))
+
+
+def minmax_cells(cells: DataFrame, ranges: DataFrame, axes: list[str], value: str = "v", reverse: bool = False) -> DataFrame:
+    """Cells scaled by their slice's range; ranges as of slice_ranges."""
+    span = F.when(F.col("high") != F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    scaled = (F.col("high") - m.value(value)) if reverse else (m.value(value) - F.col("low"))
+    return cells.join(ranges, axes).withColumn(value, scaled / span).drop("low", "high")
+
+
+def denormalize_cells(cells: DataFrame, ranges: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
+    """Undo minmax_cells; slices without a range stay as they are."""
+    span = F.when(F.col("high") != F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    back = F.when(F.col("low").isNull(), m.value(value)).otherwise(m.value(value) * span + F.col("low"))
+    return cells.join(ranges, axes, "left").withColumn(value, back).drop("low", "high")
+
+
+def descale(df: DataFrame, tops: dict[str, float]) -> DataFrame:
+    """Undo over_largest with each column's largest value; 0 and missing ones leave the column alone."""
+    return df.withColumns({c: m.value(c) * t for c, t in tops.items() if t})
+
+
+def descale_rows(df: DataFrame, cols: list[str], top: str) -> DataFrame:
+    """Undo over_largest_in_row with each row's largest value."""
+    by = F.when(F.coalesce(F.col(top), F.lit(0.0)) != 0, F.col(top)).otherwise(1.0)
+    return df.withColumns({c: m.value(c) * by for c in cols})
+
+
+def descale_cells(cells: DataFrame, tops: DataFrame, axes: list[str], value: str = "v", top: str = "top") -> DataFrame:
+    """Undo scaling by each slice's largest value; tops: (axes.., top)."""
+    by = F.when(F.coalesce(F.col(top), F.lit(0.0)) != 0, F.col(top)).otherwise(1.0)
+    return cells.join(tops.select(*axes, top), axes, "left").withColumn(value, m.value(value) * by).drop(top)
+
+
+def repeat_mask(mask: DataFrame, new_axes: dict[str, int]) -> DataFrame:
+    """A mask's places repeated along new axes of the given sizes."""
+    for axis, size in new_axes.items():
+        mask = mask.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(size - 1)))) if size else mask.where(F.lit(False)).withColumn(axis, F.lit(0))
+    return mask
+
+
+def flat_index(df: DataFrame, axes: dict[str, int], first_fastest: bool = True, labels: dict[str, str] | None = None, to: str = "row") -> DataFrame:
+    """The place of a cell when the axes (name: size) are flattened, and with labels a text of 'label index' parts."""
+    place, step = F.lit(0).cast("long"), 1
+    for a, size in axes.items() if first_fastest else reversed(axes.items()):
+        place, step = place + F.col(a) * F.lit(step), step * size
+    out = df.withColumn(to, place)
+    return out.withColumn(f"{to}_label", F.concat_ws(" ", *[F.concat(F.lit(f"{labels.get(a, a)} "), F.col(a).cast("string")) for a in axes])) if labels is not None else out

@@ -84,20 +84,25 @@ def pattern_places(df: DataFrame, col: str, order: str, pattern: list, by: list[
 
 
 def zscore_signals(y: np.ndarray, lag: int = 30, threshold: float = 5.0, influence: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signals -1, 0, 1 and the filtered mean and deviation: each new value is judged by the last lag filtered ones."""
+    """Signals -1, 0, 1 and the filtered mean and deviation: each value is judged by the lag filtered ones up to the one before.
+
+    The first lag values give the mean that the lag-th value is judged by; the last value isn't judged. A lag over the
+    length is the length.
+    """
     y = np.asarray(y, float)
     n = len(y)
+    lag = min(lag, n)
     signals, mean, dev = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    if n <= lag:
+    if lag < 2:
         return signals, mean, dev
     kept = y.copy()
-    mean[lag - 1], dev[lag - 1] = y[:lag].mean(), y[:lag].std(ddof=1) if lag > 1 else 0.0
-    for i in range(lag, n):
+    mean[lag - 2], dev[lag - 2] = y[:lag].mean(), y[:lag].std(ddof=1)
+    for i in range(lag - 1, n - 1):
         if abs(y[i] - mean[i - 1]) > threshold * dev[i - 1]:
             signals[i] = 1 if y[i] > mean[i - 1] else -1
             kept[i] = influence * y[i] + (1 - influence) * kept[i - 1]
         own = kept[i - lag + 1 : i + 1]
-        mean[i], dev[i] = own.mean(), own.std(ddof=1) if lag > 1 else 0.0
+        mean[i], dev[i] = own.mean(), own.std(ddof=1)
     return signals, mean, dev
 
 
@@ -115,7 +120,12 @@ def peaks(df: DataFrame, col: str, order: str, by: list[str], lag: int = 30, thr
 
 
 def first_jump(df: DataFrame, col: str, order: str, by: list[str], lag: int = 30, threshold: float = 5.0, influence: float = 0.0) -> DataFrame:
-    """The first place of a series with an upward signal; none for series that sum to 0."""
-    found = peaks(df, col, order, by, lag, threshold, influence)
-    total = df.groupBy(*by).agg(m.sum_(col).alias("_t")).where("_t <> 0")
-    return found.where("signal > 0").groupBy(*by).agg(F.min(order).alias("place")).join(total.select(*by), by)
+    """The place of the first positive value from the first rise of the signal from 0 to 1 on, or of any if the signal
+    doesn't rise; none for series that sum to 0. Missing values count as 0."""
+    found = peaks(df.withColumn(col, m.filled(col, 0.0)), col, order, by, lag, threshold, influence)
+    w = Window.partitionBy(*by).orderBy(order)
+    rise = F.when((F.col("signal") == 0) & (F.lead("signal").over(w) == 1), F.col(order))
+    found = found.withColumn("_rise", F.min(rise).over(Window.partitionBy(*by)))
+    after = F.when((F.col(col) > 0) & (F.col("_rise").isNull() | (F.col(order) >= F.col("_rise"))), F.col(order))
+    out = found.groupBy(*by).agg(F.min(after).alias("place"), F.sum(col).alias("_t")).where("_t <> 0 and place is not null")
+    return out.drop("_t")
