@@ -184,7 +184,7 @@ def _trimmed(text: Column) -> Column:
 
 
 def decimal_label(c) -> Column:
-    """Six decimals without trailing zeros."""
+    """Six decimals, ties away from zero, without trailing zeros."""
     return _trimmed(F.format_string("%.6f", c_(c).cast("double")))
 
 

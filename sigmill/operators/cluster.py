@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.store import bounded
 from .order import by_size
 
 
@@ -26,7 +27,7 @@ def cosine_silhouettes(df: DataFrame, vec: str, label: str, key: str) -> DataFra
     rows = unit(df.select(key, label, vec), vec)
     parts = rows.select(F.col(label).alias("c"), F.posexplode("unit")).groupBy("c", "pos").agg(F.sum("col").alias("s"), F.count(F.lit(1)).alias("n"))
     sums = parts.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("S"), F.max("n").alias("n"))
-    d = rows.crossJoin(F.broadcast(sums)).select(key, label, "c", "n", (F.col("n") - dot(F.col("unit"), F.col("S"))).alias("d"))
+    d = rows.crossJoin(bounded(sums)).select(key, label, "c", "n", (F.col("n") - dot(F.col("unit"), F.col("S"))).alias("d"))
     own = F.max(F.when((F.col("c") == F.col(label)) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
     other = F.min(F.when(F.col("c") != F.col(label), F.col("d") / F.col("n")))
     ab = d.groupBy(key, label).agg(own.alias("a"), other.alias("b"))
@@ -133,7 +134,8 @@ def compress_rows(df: DataFrame, vec: str, key: str, ks: list[int], repeats: int
     for k in ks:
         for r in range(repeats):
             out = KMeans(k=k, seed=r, featuresCol="_features", predictionCol="_p").fit(data).transform(data)
-            score = ClusteringEvaluator(featuresCol="_features", predictionCol="_p").evaluate(out) if k > 1 else -1.0
+            several = out.select("_p").distinct().limit(2).count() > 1  # a start may end with all rows in one
+            score = ClusteringEvaluator(featuresCol="_features", predictionCol="_p").evaluate(out) if several else -1.0
             if best is None or score > best[0]:
                 best = (score, out)
     rows = by_size(best[1].drop("_features"), "_p").drop("_p")
@@ -144,7 +146,7 @@ def compress_rows(df: DataFrame, vec: str, key: str, ks: list[int], repeats: int
 
 def decompress_rows(c: Compressed, key: str, noise: bool = False, seed: int = 0) -> DataFrame:
     """(key, v): each row as its cluster's mean, with Gaussian noise of the cluster's variance if asked."""
-    out = c.labels.join(F.broadcast(c.groups), "cluster", "left")
+    out = c.labels.join(bounded(c.groups), "cluster", "left")
     v = F.col("mean")
     if noise:
         from ..functions.scalar import hashed_uniform
@@ -205,6 +207,6 @@ def signal_assignments(x: DataFrame, labels: DataFrame) -> dict:
 
 def nearest_centres(df: DataFrame, vec: str, centres: DataFrame, key: str) -> DataFrame:
     """(key, cluster) by smallest cosine distance; centres (cluster, mean), few."""
-    rows = unit(df.select(key, vec), vec).crossJoin(F.broadcast(unit(centres, "mean", "centre").select("cluster", "centre")))
+    rows = unit(df.select(key, vec), vec).crossJoin(bounded(unit(centres, "mean", "centre").select("cluster", "centre")))
     w = Window.partitionBy(key).orderBy(F.desc(dot(F.col("unit"), F.col("centre"))), "cluster")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, "cluster")

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import missing as m
+from ..sources.store import bounded
+from .order import numbered
 
 
 def levels_in_order(df: DataFrame, col: str, order: str) -> DataFrame:
     """(value, level): distinct values numbered from 1 by first appearance."""
     first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.min(order).alias("_f"))
-    return first.withColumn("level", F.row_number().over(Window.orderBy("_f", "value"))).select("value", "level")
+    return numbered(first, [F.asc("_f"), F.asc("value")], "level").select("value", "level")
 
 
 def one_hot(df: DataFrame, col: str, order: str) -> DataFrame:
     """(order, level, code): a 1 at the value's level, 0 at the others, missing for a missing value. Levels are few."""
     levels = levels_in_order(df, col, order)
-    return df.select(order, col).crossJoin(F.broadcast(levels)).select(order, "level", F.when(F.col(col).isNotNull(), (F.col(col) == F.col("value")).cast("int")).alias("code"))
+    return df.select(order, col).crossJoin(bounded(levels)).select(order, "level", F.when(F.col(col).isNotNull(), (F.col(col) == F.col("value")).cast("int")).alias("code"))
 
 
 def decode(codes: DataFrame, key: str, weights: dict[int, float] | None = None) -> DataFrame:

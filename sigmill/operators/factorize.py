@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
+from ..functions import missing as m
 
 MOST_CELLS = 20_000_000
 
@@ -231,13 +232,24 @@ def flips(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[bo
 
 
 def ridge_regression(rows: DataFrame, predict: DataFrame, inputs: list[str], target: str, ridge: float = 0.1) -> DataFrame:
-    """predict's columns and estimate, by a ridge regression on rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    put = VectorAssembler(inputCols=inputs, outputCol="_features")
-    fit = LinearRegression(featuresCol="_features", labelCol=target, regParam=ridge, elasticNetParam=0.0, standardization=False).fit(put.transform(rows))
-    return fit.transform(put.transform(predict)).withColumnRenamed("prediction", "estimate").drop("_features")
+    """predict's columns and estimate: least squares with ridge times the squared weights, the bias free. One aggregate gives
+    the moments of the rows without missing values, whatever their number; the equations have a row an input."""
+    xs, y = [m.value(c) for c in inputs], m.value(target)
+    whole = y.isNotNull()
+    for x in xs:
+        whole = whole & x.isNotNull()
+    cols = [*xs, y]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    got = rows.where(whole).agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).first()
+    n, means = got[0], np.array([0.0 if v is None else v for v in got[1 : 1 + len(cols)]])
+    spread = np.zeros((len(cols), len(cols)))
+    for (i, j), v in zip(pairs, got[1 + len(cols) :]):
+        spread[i, j] = spread[j, i] = (v or 0.0) * n
+    weights = np.linalg.lstsq(spread[:-1, :-1] + ridge * np.eye(len(inputs)), spread[:-1, -1], rcond=None)[0]
+    estimate = F.lit(float(means[-1]))
+    for x, w, mean in zip(xs, weights, means):
+        estimate = estimate + (x - float(mean)) * float(w)
+    return predict.withColumn("estimate", estimate)
 
 
 def progressive(rows: DataFrame, windows: list[int], ks: list[int], o: Options = Options()) -> DataFrame:

@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import missing as m
+from ..sources.store import bounded, materialized
+
+
+def numbered(df: DataFrame, order: list, to: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in the order of these columns, which must be total. Rows are range-partitioned and
+    counted in each partition, so no task needs all of them; only the partitions' sizes are gathered."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialized(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
+    before, pairs = 0, []
+    for p, n in sizes:
+        pairs += [F.lit(p), F.lit(before)]
+        before += n
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    start = F.create_map(*pairs)[F.col("_part")] if pairs else F.lit(0)
+    return dealt.withColumn(to, (own + start).cast("int" if before < 2**31 else "long")).drop("_part")
 
 
 def sorted_values(df: DataFrame, col: str, descending: bool = False, keep_missing: bool = True) -> DataFrame:
@@ -18,7 +34,9 @@ def sort_places(df: DataFrame, col: str, key: str, descending: bool = False, by:
     """Each row's place in the stable sort by value, then key: missing values come first ascending, last descending."""
     v = m.value(col)
     order = F.desc_nulls_last(v) if descending else F.asc_nulls_first(v)
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order, F.asc(key))))
+    if not by:
+        return numbered(df, [order, F.asc(key)])
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order, F.asc(key))))
 
 
 def top_by_group(df: DataFrame, by: list[str], col: str, key: str, k: int) -> DataFrame:
@@ -35,9 +53,12 @@ def signal_order(w: DataFrame, h: DataFrame) -> DataFrame:
 def important(df: DataFrame, name: str, rank: str, label: str | None = None, wanted: list[str] | None = None, limit: int = 30) -> DataFrame:
     """The names to show: those wanted, then the best of each label, then by rank, limit in all."""
     first = F.col(name).isin(wanted) if wanted else F.lit(False)
-    best = F.row_number().over(Window.partitionBy(label).orderBy(rank, name)) == 1 if label else F.lit(False)
-    tier = F.when(first, 0).when(best, 1).otherwise(2)
-    return df.withColumn("_tier", tier).withColumn("place", F.row_number().over(Window.orderBy("_tier", rank, name))).where(F.col("place") <= limit).drop("_tier")
+    if label:
+        best = df.groupBy(label).agg(F.min(F.struct(rank, name)).alias("_best"))
+        df = df.join(bounded(best), label, "left")
+    tier = F.when(first, 0).when(F.col("_best") == F.struct(rank, name) if label else F.lit(False), 1).otherwise(2)
+    top = df.withColumn("_tier", tier).orderBy("_tier", rank, name).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("_tier", rank, name))).drop("_tier", "_best")  # limit rows at most
 
 
 def signal_members(x: DataFrame, cutoff: float = 0.5) -> DataFrame:
@@ -68,7 +89,7 @@ def grid_reduced(df: DataFrame, lon: str, lat: str, skip: int, digits: int = 6)
     """Points whose rounded coordinates are both among every skip-th distinct one."""
     def every(c):
         u = df.select(F.round(c, digits).alias("_u")).distinct()
-        return u.withColumn("_r", F.row_number().over(Window.orderBy("_u"))).where((F.col("_r") - 1) % skip == 0).select("_u")
+        return numbered(u, [F.asc("_u")], "_r").where((F.col("_r") - 1) % skip == 0).select("_u")
 
     keep = df.join(every(lon), F.round(lon, digits) == F.col("_u"), "left_semi")
     return keep.join(every(lat), F.round(lat, digits) == F.col("_u"), "left_semi")

@@ -7,6 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import missing as m
+from ..sources.store import bounded
 
 
 def column_statistics(df: DataFrame, cols: list[str], log: bool = False) -> DataFrame:
@@ -42,7 +43,7 @@ def contingency(df: DataFrame, a: str, b: str, zeros: bool = True) -> DataFrame:
     counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     if not zeros:
         return counts
-    pairs = df.select(a).distinct().crossJoin(F.broadcast(df.select(b).distinct()))
+    pairs = df.select(a).distinct().crossJoin(bounded(df.select(b).distinct()))
     return pairs.join(counts, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import missing as m
+from ..sources.store import bounded
 
 
 def largest_at_point(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -34,7 +35,7 @@ def inverse_distance(points: DataFrame, grid: DataFrame, x: str, y: str, z: str,
     by a window over each grid point.
     """
     d = F.sqrt(F.pow(F.col(x) - F.col("gx"), 2) + F.pow(F.col(y) - F.col("gy"), 2) + smoothing**2)
-    pairs = points.where(m.value(z).isNotNull()).select(x, y, z).crossJoin(F.broadcast(grid)).withColumn("_d", d)
+    pairs = points.where(m.value(z).isNotNull()).select(x, y, z).crossJoin(bounded(grid)).withColumn("_d", d)
     if neighbours:
         w = Window.partitionBy("i", "j").orderBy("_d", x, y)
         pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= neighbours)
@@ -110,8 +111,8 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     def half(seq):
         out: list[tuple[float, float]] = []
         for p in seq:
-            while len(out) > 1 and turn(out[-2], out[-1], p) <= 0:
-                out.pop()
+            while len(out) > 1 and turn(out[-2], out[-1], p) <= 1e-12 * math.dist(out[-2], out[-1]) * math.dist(out[-2], p):
+                out.pop()  # a corner must turn by more than rounding does
             out.append(p)
         return out[:-1]
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import missing as m
+from ..sources.store import bounded
 
 
 def with_stats(df: DataFrame, stats: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -142,7 +143,7 @@ def interpolate(points: DataFrame, wanted: DataFrame, x: str, y: str, by: list[s
     seg = known.withColumns({"_x2": F.lead(x).over(w), "_y2": F.lead(y).over(w), "_first": F.lag(x).over(w).isNull(), "_last": F.lead(x, 2).over(w).isNull()}).where("_x2 is not null")
     seg = seg.select(*by, F.col(x).alias("_x1"), F.col(y).alias("_y1"), "_x2", "_y2", "_first", "_last")
     hit = ((F.col(x) >= F.col("_x1")) | F.col("_first")) & ((F.col(x) < F.col("_x2")) | F.col("_last"))
-    both = wanted.join(seg, by) if by else wanted.crossJoin(F.broadcast(seg))
+    both = wanted.join(seg, by) if by else wanted.crossJoin(bounded(seg))
     v = F.col("_y1") + (F.col(x) - F.col("_x1")) / (F.col("_x2") - F.col("_x1")) * (F.col("_y2") - F.col("_y1"))
     return both.where(hit).select(*by, x, (F.greatest(v, F.lit(0.0)) if nonnegative else v).alias(y))
 
@@ -184,7 +185,7 @@ def to_cells(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
 
 def name_products(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
     """Every 'x:y'; both sides are lists of names, so small."""
-    return a.select(x).distinct().crossJoin(F.broadcast(b.select(y).distinct())).select(F.concat_ws(":", x, y).alias("name"))
+    return a.select(x).distinct().crossJoin(bounded(b.select(y).distinct())).select(F.concat_ws(":", x, y).alias("name"))
 
 
 def any_of(columns: list[Column]) -> Column:

@@ -211,14 +211,26 @@ def subsequence(spark, sf):
     return wn.pattern_places(t(spark, sf, "events"), "event_type", "event_id", ["view", "click", "view"], ["user_id"])
 
 
-@query()
+_PEAKS = """WITH RECURSIVE y AS (SELECT user_id, list(v ORDER BY d) AS y, list(d ORDER BY d) AS ds, CAST(count(*) AS INTEGER) AS n, CAST(least(7, count(*)) AS INTEGER) AS lag FROM {ud} GROUP BY 1),
+s AS (
+  SELECT user_id, y, ds, n, lag, lag - 1 AS p, y AS kept, list_avg(y[1:lag]) AS mean, list_stddev_samp(y[1:lag]) AS dev, 0 AS sig FROM y WHERE lag > 1
+  UNION ALL
+  SELECT user_id, y, ds, n, lag, p, kept, list_avg(kept[p - lag + 1 : p]), list_stddev_samp(kept[p - lag + 1 : p]), sig FROM (
+    SELECT user_id, y, ds, n, lag, p, sig, CASE WHEN sig = 0 THEN kept ELSE list_concat(list_concat(kept[1 : p - 1], [{f} * y[p] + (1 - {f}) * kept[p - 1]]), y[p + 1 :]) END AS kept FROM (
+      SELECT user_id, y, ds, n, lag, p + 1 AS p, kept, CASE WHEN abs(y[p + 1] - mean) > 2.5 * dev THEN CASE WHEN y[p + 1] > mean THEN 1 ELSE -1 END ELSE 0 END AS sig FROM s WHERE p + 1 < n))),
+z AS (SELECT u.user_id, u.d, u.v, coalesce(sig, 0) AS signal, coalesce(mean, 0) AS mean, coalesce(dev, 0) AS dev FROM {ud} u LEFT JOIN s ON s.user_id = u.user_id AND s.ds[s.p] = u.d)
+"""
+
+
+@query(_PEAKS.format(ud=_UD, f=0.2) + "SELECT user_id, d, v, CAST(signal AS BIGINT) AS signal, round(mean, 6) AS mean, round(dev, 5) AS dev FROM z")
 def peaks_zscore(spark, sf):
-    return wn.peaks(user_days(spark, sf), "v", "d", ["user_id"], lag=7, threshold=2.5, influence=0.2)
+    found = wn.peaks(user_days(spark, sf), "v", "d", ["user_id"], lag=7, threshold=2.5, influence=0.2)
+    return found.select("user_id", F.col("d").cast("long").alias("d"), "v", "signal", r("filtered_mean").alias("mean"), r("filtered_deviation", 5).alias("dev"))
 
 
-@query()
+@query(_PEAKS.format(ud=_UD, f=0.0) + ", o AS (SELECT user_id, d, signal, lead(signal) OVER (PARTITION BY user_id ORDER BY d) AS next FROM z), f AS (SELECT user_id, min(d) AS rise FROM o WHERE signal = 0 AND next = 1 GROUP BY 1) SELECT z.user_id, min(CASE WHEN v > 0 AND (rise IS NULL OR d >= rise) THEN d END) AS place FROM z LEFT JOIN f ON z.user_id = f.user_id GROUP BY 1 HAVING sum(v) <> 0 AND place IS NOT NULL")
 def first_jump(spark, sf):
-    return wn.first_jump(user_days(spark, sf), "v", "d", ["user_id"], lag=7, threshold=2.5)
+    return wn.first_jump(user_days(spark, sf), "v", "d", ["user_id"], lag=7, threshold=2.5).select("user_id", F.col("place").cast("long").alias("place"))
 
 
 # Sorts and selections
@@ -275,7 +287,7 @@ def strongest_signal(spark, sf):
 
 @query("WITH x AS (SELECT p_partkey, p_brand, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS rk FROM part), y AS (SELECT *, CASE WHEN p_partkey IN (3, 5) THEN 0 WHEN row_number() OVER (PARTITION BY p_brand ORDER BY rk, p_partkey) = 1 THEN 1 ELSE 2 END AS tier FROM x) SELECT p_partkey, rk, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY tier, rk, p_partkey) AS place FROM y) WHERE place <= 30")
 def importance_rank(spark, sf):
-    x = order.top_by_group(t(spark, sf, "part").withColumn("_all", F.lit(1)), ["_all"], "p_retailprice", "p_partkey", 10**9).withColumnRenamed("rank", "rk")
+    x = order.sort_places(t(spark, sf, "part"), "p_retailprice", "p_partkey", descending=True).withColumnRenamed("place", "rk")
     return order.important(x, "p_partkey", "rk", "p_brand", [3, 5], 30).select("p_partkey", "rk", "place")
 
 
@@ -330,11 +342,12 @@ def minmax_rows(spark, sf):
     return tr.minmax_rows(t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("l_quantity", 9).alias("l_quantity"), r("l_tax", 9).alias("l_tax"))
 
 
-@query("SELECT c_custkey, round(c_acctbal, 5) AS c_acctbal FROM customer")
+@query("SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 9) AS scaled, round(c_acctbal, 5) AS c_acctbal FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")
 def denorm_roundtrip(spark, sf):
     d = t(spark, sf, "customer")
     lo, hi = d.agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
-    return tr.denormalize(tr.minmax(d, ["c_acctbal"]), {"c_acctbal": (lo, hi)}).select("c_custkey", r("c_acctbal", 5).alias("c_acctbal"))
+    scaled = tr.minmax(d, ["c_acctbal"]).withColumn("scaled", r("c_acctbal", 9))
+    return tr.denormalize(scaled, {"c_acctbal": (lo, hi)}).select("c_custkey", "scaled", r("c_acctbal", 5).alias("c_acctbal"))
 
 
 @query("WITH s AS (SELECT c_custkey, log10(c_acctbal - lo + 1) AS y FROM customer, (SELECT min(c_acctbal) AS lo FROM customer)) SELECT c_custkey, round((y - a) / (b - a), 7) AS c_acctbal FROM s, (SELECT min(y) AS a, max(y) AS b FROM s)")
@@ -342,9 +355,10 @@ def log_norm(spark, sf):
     return tr.log_scaled(t(spark, sf, "customer"), "c_acctbal").select("c_custkey", r("c_acctbal", 7).alias("c_acctbal"))
 
 
-@query("SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal FROM customer")
+@query("WITH s AS (SELECT c_custkey, c_acctbal, log10(c_acctbal - lo + 1) AS y FROM customer, (SELECT min(c_acctbal) AS lo FROM customer)) SELECT c_custkey, round((y - a) / (b - a), 7) AS scaled, round(c_acctbal, 4) AS c_acctbal FROM s, (SELECT min(y) AS a, max(y) AS b FROM s)")
 def log_norm_roundtrip(spark, sf):
-    return tr.log_unscaled(tr.log_scaled(t(spark, sf, "customer"), "c_acctbal"), "c_acctbal").select("c_custkey", r("c_acctbal", 4).alias("c_acctbal"))
+    scaled = tr.log_scaled(t(spark, sf, "customer"), "c_acctbal").withColumn("scaled", r("c_acctbal", 7))
+    return tr.log_unscaled(scaled, "c_acctbal").select("c_custkey", "scaled", r("c_acctbal", 4).alias("c_acctbal"))
 
 
 @query("SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN log10(CASE WHEN c_acctbal > 0 THEN c_acctbal END) ELSE lo - 1 END, 8) AS v FROM customer, (SELECT min(log10(c_acctbal)) AS lo FROM customer WHERE c_acctbal > 0)")
@@ -556,7 +570,10 @@ def bad_slices(spark, sf):
     return profile.bad_slices(c, "i", cutoff=1)
 
 
-@query()
+_ROUND = "{n}a AS (SELECT * FROM {c} WHERE i IN (SELECT i FROM {c} GROUP BY 1 HAVING count(v) > 3)), {n} AS (SELECT * FROM {n}a WHERE j IN (SELECT j FROM {n}a GROUP BY 1 HAVING count(v) > 3))"
+
+
+@query("WITH c0 AS (SELECT l_suppkey AS i, l_partkey % 50 AS j, sum(CASE WHEN l_discount > 0.08 THEN l_quantity END) AS v FROM lineitem GROUP BY 1, 2), " + ", ".join(_ROUND.format(n=f"c{q + 1}", c=f"c{q}") for q in range(12)) + " SELECT i, j, v FROM c12")
 def robust_cells(spark, sf):
     c = t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 50).alias("j")).agg(F.sum(F.when(F.col("l_discount") > 0.08, F.col("l_quantity"))).alias("v"))
     return profile.robust_cells(c, ["i", "j"], cutoff=3)
@@ -760,7 +777,10 @@ def postprocess(spark, sf):
     return post.report(found, 2, w_names, h_names).clusters
 
 
-@query()
+_RIDGE = "WITH a AS (SELECT avg(l_quantity) AS mx, avg(l_discount) AS my, avg(l_extendedprice) AS mz, var_pop(l_quantity) + 0.1 / count(*) AS xx, var_pop(l_discount) + 0.1 / count(*) AS yy, covar_pop(l_quantity, l_discount) AS xy, covar_pop(l_quantity, l_extendedprice) AS xz, covar_pop(l_discount, l_extendedprice) AS yz FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mz + (l_quantity - mx) * (xz * yy - yz * xy) / (xx * yy - xy * xy) + (l_discount - my) * (yz * xx - xz * xy) / (xx * yy - xy * xy), 2) AS estimate FROM lineitem, a"
+
+
+@query(_RIDGE)
 def ridge_predict(spark, sf):
     d = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice")
     return fz.ridge_regression(d, d, ["l_quantity", "l_discount"], "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("estimate", 2).alias("estimate"))

@@ -55,6 +55,11 @@ def drop_tables(spark: SparkSession, since: int = 0, before: int | None = None)
     del paths[since:before]
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, which is checked; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def content_key(df: DataFrame) -> str:
     """64 hex digits that depend on the rows and not on their order; equal rows count."""
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
