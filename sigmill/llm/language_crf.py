@@ -228,7 +228,7 @@ def _pairs(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit(docs: DataFrame, most_docs: int = 150, window: int = 60, most_labels: int = 64, salts: int = 64) -> Chain:
+def fit(docs: DataFrame, most_docs: int = 150, window: int = 60, most_labels: int = 64, salts: int = 16) -> Chain:
     """docs: (doc_id, text, lang), only rows that may be learned from."""
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null")
