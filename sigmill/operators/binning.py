@@ -32,7 +32,10 @@ def bin_index(df: DataFrame, col: str, bins: int | None = None, step: float | No
 
 
 def bin_centres(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """(bin, centre) of equal bins over the column's range."""
+    """(bin, centre) of equal bins over the column's range; of dates the day that the centre falls on."""
+    if dict(df.dtypes)[col] == "date":
+        days = bin_centres(df.select(F.unix_date(col).alias(col)), col, bins)
+        return days.withColumn("centre", F.date_from_unix_date(F.floor("centre").cast("int")))
     ends = df.agg(F.min(m.value(col)).alias("lo"), F.max(m.value(col)).alias("hi"))
     return ends.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * (2 * i + 1) / (2.0 * bins)))).select((F.col("pos") + 1).alias("bin"), F.col("col").alias("centre"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.store import bounded
+from ..sources.store import bounded, materialized
 from .order import by_size
 
 
@@ -25,8 +25,11 @@ def cosine_silhouettes(df: DataFrame, vec: str, label: str, key: str) -> DataFra
     """(key, label, silhouette) exactly, in one join of rows with clusters: the distances of a row to a cluster sum to
     n - u . S with S the sum of the cluster's unit vectors. A row alone in its cluster has 0."""
     rows = unit(df.select(key, label, vec), vec)
-    parts = rows.select(F.col(label).alias("c"), F.posexplode("unit")).groupBy("c", "pos").agg(F.sum("col").alias("s"), F.count(F.lit(1)).alias("n"))
-    sums = parts.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("S"), F.max("n").alias("n"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    parts = rows.groupBy(F.col(label).alias("c")).agg(Summarizer.sum(array_to_vector("unit")).alias("s"), F.count(F.lit(1)).alias("n"))  # one vector a cluster and task
+    sums = parts.select("c", vector_to_array("s").alias("S"), "n")
     d = rows.crossJoin(bounded(sums)).select(key, label, "c", "n", (F.col("n") - dot(F.col("unit"), F.col("S"))).alias("d"))
     own = F.max(F.when((F.col("c") == F.col(label)) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
     other = F.min(F.when(F.col("c") != F.col(label), F.col("d") / F.col("n")))
@@ -91,7 +94,7 @@ def gaussian_mixture(df: DataFrame, vec: str, ks: list[int], repeats: int = 2, c
     """Best k by BIC or AIC, rows with cluster by falling size, and the criterion by k (full covariances)."""
     from pyspark.ml.clustering import GaussianMixture
 
-    data = _vectors(df, vec).cache()
+    data = materialized(_vectors(df, vec))
     n, d = data.count(), len(data.select(vec).first()[0])
     scores, fits = {}, {}
     for k in ks:
@@ -129,7 +132,7 @@ def compress_rows(df: DataFrame, vec: str, key: str, ks: list[int], repeats: int
         means = real.select(F.posexplode(clean).alias("pos", "v")).groupBy("pos").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("a"))
         means = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]).alias("_means"))  # one value a place
         real = real.crossJoin(F.broadcast(means)).withColumn(vec, F.zip_with(clean, "_means", lambda x, a: F.coalesce(x, a))).drop("_means")
-    data = _vectors(real, vec).cache()
+    data = materialized(_vectors(real, vec))
     best = None
     for k in ks:
         for r in range(repeats):
@@ -210,3 +213,34 @@ def nearest_centres(df: DataFrame, vec: str, centres: DataFrame, key: str) -> Da
     rows = unit(df.select(key, vec), vec).crossJoin(bounded(unit(centres, "mean", "centre").select("cluster", "centre")))
     w = Window.partitionBy(key).orderBy(F.desc(dot(F.col("unit"), F.col("centre"))), "cluster")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, "cluster")
+
+
+def robust_cluster(df: DataFrame, vec: str, key: str, ks: list[int], repeats: int = 3, method: str = "kmeans", **kw) -> tuple[int, DataFrame]:
+    """(k, rows with cluster) by k-means ('kmeans') or Gaussian mixtures ('mixture')."""
+    if method == "kmeans":
+        return kmeans_range(df, vec, key, ks, repeats, **kw)[:2]
+    if method == "mixture":
+        return gaussian_mixture(df, vec, ks, repeats, **kw)[:2]
+    raise ValueError(f"no such method: {method}")
+
+
+def linkage(df: DataFrame, vec: str, key: str, most: int = 2000) -> list[tuple[int, int, float, int]]:
+    """(a, b, height, size) of each merge of complete linkage by cosine distance. Rows in the order of key are 0, 1, ..;
+    the merge in step s makes n + s. Needs all pairs, so more than most rows are an error."""
+    got = df.select(key, vec).orderBy(key).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    x = np.array([[float(v) for v in r[1]] for r in got], float).reshape(len(got), -1)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    d = 1 - u @ u.T
+    n, out = len(x), []
+    names, sizes = list(range(n)), [1] * n
+    np.fill_diagonal(d, np.inf)
+    for step in range(n - 1):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        out.append((min(names[i], names[j]), max(names[i], names[j]), float(d[i, j]), sizes[i] + sizes[j]))
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[j] = d[:, j] = np.inf
+        d[i, i] = np.inf
+        names[i], sizes[i] = n + step, sizes[i] + sizes[j]
+    return out

@@ -51,3 +51,8 @@ def type_colors(df: DataFrame, col: str, colors: list[str], other: str = "gray",
     for value, name in zip(found, colors):
         color = F.when(F.col(col) == F.lit(value), name).otherwise(color)
     return df.withColumn(to, color)
+
+
+def decode_blocks(codes: DataFrame, key: str, attribute: str, weight: str) -> DataFrame:
+    """(key, attribute, value): the sum of code times weight over each attribute's block of columns."""
+    return codes.groupBy(key, attribute).agg(F.sum(F.col("code") * m.value(weight)).alias("value"))

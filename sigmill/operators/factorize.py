@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from ..functions import missing as m
+from ..sources.store import materialized
 
 MOST_CELLS = 20_000_000
 
@@ -49,8 +50,9 @@ def to_matrix(rows: DataFrame, key: str = "id", vec: str = "x", most_cells: int
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("m")).first()
     if size["n"] * (size["m"] or 0) > most_cells:
         raise ValueError(f"{size['n']} x {size['m']} cells: use factorize_tall")
-    got = rows.select(key, vec).orderBy(key).collect()
-    return [r[0] for r in got], np.array([[np.nan if v is None else v for v in r[1]] for r in got], float).reshape(len(got), size["m"] or 0)
+    got = rows.select(key, F.transform(vec, lambda v: v.cast("double")).alias(vec)).orderBy(key).toArrow()
+    flat = got.column(vec).combine_chunks().flatten().to_numpy(zero_copy_only=False)  # missing cells as NaN
+    return got.column(key).to_pylist(), np.array(flat, float).reshape(got.num_rows, size["m"] or 0)
 
 
 def wide_to_rows(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -87,10 +89,10 @@ def single_run(x: np.ndarray, k: int, seed: int, o: Options, w=None, h=None) ->
 RUN = "k int, run int, fit double, w array<array<double>>, h array<array<double>>"
 
 
-def ensemble(rows: DataFrame, ks: list[int], o: Options = Options(), h_fixed: np.ndarray | None = None) -> DataFrame:
-    """(k, run, fit, w, h): every run of every k, each in a task of its own."""
+def ensemble(rows: DataFrame, ks: list[int], o: Options = Options(), h_fixed: np.ndarray | None = None, x: np.ndarray | None = None) -> DataFrame:
+    """(k, run, fit, w, h): every run of every k, each in a task of its own. x: the rows' matrix, if it's there already."""
     spark = rows.sparkSession
-    _, x = to_matrix(rows)
+    x = to_matrix(rows)[1] if x is None else x
     shared = spark.sparkContext.broadcast((x, h_fixed))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,13 +111,13 @@ def ensemble(rows: DataFrame, ks: list[int], o: Options = Options(), h_fixed: np
 SOLUTION = "k int, fit double, robustness double, aic double, w array<array<double>>, h array<array<double>>, silhouettes array<double>, kept int"
 
 
-def solutions(runs: DataFrame, rows: DataFrame, o: Options = Options()) -> DataFrame:
+def solutions(runs: DataFrame, rows: DataFrame, o: Options = Options(), x: np.ndarray | None = None) -> DataFrame:
     """One row a k: the best run's factors (or the clusters' means), the worst cluster's silhouette, AIC.
 
     Runs with a fit that isn't a number, beyond accept_factor times the best, or beyond the best accept_ratio of all
     are left out. The rows of one k are its runs, a bounded number.
     """
-    _, x = to_matrix(rows)
+    x = to_matrix(rows)[1] if x is None else x
     observed = int((~np.isnan(x)).sum())
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +142,8 @@ def solutions(runs: DataFrame, rows: DataFrame, o: Options = Options()) -> DataF
 
 
 def sweep(rows: DataFrame, ks: list[int], o: Options = Options()) -> DataFrame:
-    return solutions(ensemble(rows, ks, o), rows, o)
+    _, x = to_matrix(rows)
+    return solutions(ensemble(rows, ks, o, x=x), rows, o, x)
 
 
 def chosen_k(found: DataFrame, cutoff: float = 0.5, strict: bool = True) -> int | None:
@@ -210,6 +213,19 @@ def fold_in(rows: DataFrame, h: np.ndarray, ridge: float = 0.0, key: str = "id",
     return rows.select(key, vec).mapInArrow(run, f"{key} {kind}, w array<double>")
 
 
+def fold_error(rows: DataFrame, h: np.ndarray, vec: str = "x") -> float:
+    """The Frobenius norm of what fold_in leaves; each batch gives one sum."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(h, float))
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([[np.nan if v is None else v for v in r] for r in batch.column(0).to_pylist()], float).reshape(batch.num_rows, shared.value.shape[1])
+            w = K.nonnegative_solve(shared.value.T, x.T).T
+            yield pa.RecordBatch.from_arrays([pa.array([K.residual(x, w, shared.value) ** 2])], ["e"])
+
+    return float(rows.select(vec).mapInArrow(run, "e double").agg(F.coalesce(F.sum("e"), F.lit(0.0))).first()[0] ** 0.5)
+
+
 def mapping(x: np.ndarray, y: np.ndarray, a: DataFrame, ridge: float = 1e-8) -> tuple[np.ndarray, DataFrame]:
     """Learn Y = X H with H >= 0, then predict rows (id, x) of a: (H, (id, y))."""
     h = K.nonnegative_solve(np.array(x, float), np.array(y, float), ridge=ridge)
@@ -255,18 +271,43 @@ def ridge_regression(rows: DataFrame, predict: DataFrame, inputs: list[str], tar
 def progressive(rows: DataFrame, windows: list[int], ks: list[int], o: Options = Options()) -> DataFrame:
     """(window, k, fit_window, fit_all): factors learned on the first rows of each window, then all rows with that H fixed."""
     out, spark = [], rows.sparkSession
-    _, x = to_matrix(rows)
     for size in windows:
         some = rows.orderBy("id").limit(size)
-        found = sweep(some, ks, o).cache()
+        found = materialized(sweep(some, ks, o))
         k = chosen_k(found, o.cutoff, strict=False)
         best = found.where(F.col("k") == k).first()
         h = np.array(best["h"])
-        w = np.array([r["w"] for r in fold_in(rows, h).orderBy("id").collect()])
-        out.append((size, k, float(best["fit"]), K.residual(x, w, h)))
+        out.append((size, k, float(best["fit"]), fold_error(rows, h)))
     return spark.createDataFrame(out, "window int, k int, fit_window double, fit_all double")
 
 
+def forecast(df: DataFrame, id_col: str, month_col: str, value: str, train_end: str, ks: list[int], o: Options = Options()) -> DataFrame:
+    """(id, place, v, estimate, known): each id's months, counted from its first positive one, as mixtures of signals.
+
+    The signals are learned on what was known at train_end (a date): rows are places, columns ids. With them fixed, the
+    ids known at a place give its weights, and these all ids' values there. known: the month was part of the training.
+    """
+    from .pivot import shifted_matrix
+
+    spark = df.sparkSession
+    past = df.where(F.col(month_col).cast("date") <= F.to_date(F.lit(train_end)))
+    train = shifted_matrix(past, id_col, month_col, value)
+    ids = [r[0] for r in train.select("id").distinct().orderBy("id").limit(100_001).collect()]
+    if len(ids) > 100_000:
+        raise ValueError("more than 100000 ids: the signals have a column an id")
+    places = spark.createDataFrame([(v, j) for j, v in enumerate(ids)], f"id {dict(train.dtypes)['id']}, j int")
+    cells = train.join(places, "id").select(F.col("place").alias("i"), "j", "v")
+    rows = cells_to_rows(cells, len(ids))
+    k = chosen_k(found := sweep(rows, ks, o), o.cutoff, strict=False)
+    h = np.array(found.where(F.col("k") == k).first()["h"], float)
+    weights = fold_in(rows, h).withColumnRenamed("id", "place")
+    share = spark.createDataFrame([(v, h[:, j].tolist()) for j, v in enumerate(ids)], f"id {dict(train.dtypes)['id']}, h array<double>")
+    whole = shifted_matrix(df.join(places, F.col(id_col) == F.col("id"), "left_semi"), id_col, month_col, value)
+    estimate = F.aggregate(F.zip_with("w", "h", lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x)
+    out = whole.join(weights, "place").join(share, "id").join(train.select("id", "place", F.lit(True).alias("_t")), ["id", "place"], "left")
+    return out.select("id", "place", "v", estimate.alias("estimate"), F.coalesce("_t", F.lit(False)).alias("known"))
+
+
 def uncertainty(rows: DataFrame, k: int, reruns: int, o: Options = Options()) -> DataFrame:
     """(i, j, least, largest, variance) of the reconstruction over resampled reruns."""
     from .reduce import ensemble_ranges
@@ -294,10 +335,8 @@ def tensor_sweep(cells: DataFrame, axes: list[str], ks: list[int], o: Options =
     return out
 
 
-def factorize_tall(rows: DataFrame, k: int, iterations: int = 50, seed: int = 0, tol: float = 1e-6, save_every: int = 10) -> tuple[DataFrame, np.ndarray, float]:
+def factorize_tall(rows: DataFrame, k: int, iterations: int = 50, seed: int = 0, tol: float = 1e-6, save_every: int = 2) -> tuple[DataFrame, np.ndarray, float]:
     """((id, w), H, fit) for any number of rows; columns are few. One pass an iteration; zeros and gaps as in the kernel."""
-    from ..sources.store import materialized
-
     spark = rows.sparkSession
     m = rows.select(F.size("x")).first()[0]
     kind = dict(rows.dtypes)["id"]
@@ -345,15 +384,13 @@ def factorize_tall(rows: DataFrame, k: int, iterations: int = 50, seed: int = 0,
         fit = now
         h = h * num / np.maximum(wsum, 1e-300)[:, None]
         state = state.mapInArrow(step(spark.sparkContext.broadcast(h), "rows"), f"id {kind}, x array<double>, w array<double>")
-        if i % save_every == save_every - 1 or i % 2:
+        if i % save_every == save_every - 1:  # each pass goes through the updates since then
             state = materialized(state)
     return state.select("id", "w"), h, fit
 
 
 def selection_table(found: DataFrame, cells: DataFrame) -> DataFrame:
     """(k, r2, fit, robustness): r2 of data cells (i, j, v) with each k's reconstruction, fit over its largest, robustness."""
-    from ..functions import missing as m
-
     w = found.select("k", F.posexplode("w").alias("i", "_w"), "h")
     e = w.select("k", "i", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(F.element_at("h", 1)) - 1), lambda j: F.aggregate(F.zip_with("_w", F.transform("h", lambda r: F.element_at(r, j + 1)), lambda p, q: p * q), F.lit(0.0), lambda a, b: a + b))).alias("j", "e"))
     r2 = e.join(cells, ["i", "j"]).groupBy("k").agg(m.r2("v", "e").alias("r2"))

@@ -294,3 +294,24 @@ def silhouettes(factors: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def criterion(fit: float, observed: int, parameters: int) -> float:
     """2 p + n ln(fit / n), with fit the norm of the residual."""
     return 2 * parameters + observed * float(np.log(max(fit, 1e-300) / observed))
+
+
+def water_deltas(deltas, k, seed=0, iterations=3000, ridge=1e-6, means=None):
+    """(W, D, fit): observed deltas (rows x 2, with gaps) as mixtures of k waters, rows of W on the simplex, D unbounded and
+    drawn to means by ridge; alternating projected gradient steps and least squares."""
+    y = np.array(deltas, float)
+    seen = ~np.isnan(y)
+    y = np.where(seen, y, 0.0)
+    means = np.zeros((k, y.shape[1])) if means is None else np.array(means, float)
+    rng = np.random.default_rng(seed)
+    w = to_simplex(rng.random((len(y), k)))
+    known = np.flatnonzero(seen.all(axis=1))
+    d = y[rng.choice(known, k, replace=len(known) < k)] if len(known) else means.copy()
+    for _ in range(iterations):
+        step = max(np.linalg.norm(d @ d.T, 2), 1e-12)
+        for _ in range(5):
+            w = to_simplex(w - (seen * (w @ d - y)) @ d.T / step)
+        for j in range(y.shape[1]):
+            a = w[seen[:, j]]
+            d[:, j] = np.linalg.solve(a.T @ a + ridge / k * np.eye(k), a.T @ y[seen[:, j], j] + ridge / k * means[:, j])
+    return w, d, float((seen * (w @ d - y) ** 2).sum())

@@ -25,10 +25,12 @@ def date_matrix(df: DataFrame, id_col: str, date_col: str, value: str, dates: Da
     return cells.groupBy("date").pivot("id", ids).agg(F.first("v"))
 
 
-def shifted_matrix(df: DataFrame, id_col: str, month_col: str, value: str) -> DataFrame:
-    """(id, place, v, start, end): months counted from the id's first positive month to its last, duplicates summed."""
+def shifted_matrix(df: DataFrame, id_col: str, month_col: str, value: str, record: int | None = None) -> DataFrame:
+    """(id, place, v, start, end): months counted from the id's first positive month to its last, duplicates summed; with a
+    record length no more than so many places."""
     rows = df.select(F.col(id_col).alias("id"), F.trunc(F.col(month_col).cast("date"), "month").alias("month"), m.value(value).alias("v")).where("v is not null")
     cells = rows.groupBy("id", "month").agg(F.sum("v").alias("v"))
     ends = cells.where("v > 0").groupBy("id").agg(F.min("month").alias("start"), F.max("month").alias("end"))
     inside = cells.join(ends, "id").where("month >= start and month <= end")
-    return inside.select("id", (F.months_between("month", "start") + 1).cast("int").alias("place"), "v", "start", "end")
+    out = inside.select("id", (F.months_between("month", "start") + 1).cast("int").alias("place"), "v", "start", "end")
+    return out if record is None else out.where(F.col("place") <= record)

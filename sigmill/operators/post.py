@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.store import joined_path, write_csv
+
 from .cluster import best_assignment, kmeans_range
 from .factorize import factor_cells
 from .order import signal_members, strongest_signal
@@ -78,3 +80,69 @@ def association(shares: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """(i, j, signal, share): each cell's leading signal, where it reaches the cutoff."""
     top = shares.groupBy("i", "j").agg(F.max(F.struct("share", (-F.col("k")).alias("nk"))).alias("_m"))
     return top.select("i", "j", (-F.col("_m.nk")).alias("signal"), F.col("_m.share").alias("share")).where(F.col("share") >= cutoff)
+
+
+@dataclass(frozen=True)
+class PostOptions:
+    """What reports() is asked for. An unknown name is an error, as is a name given twice with different values."""
+
+    cutoff: float = 0.5
+    repeats: int = 2
+    result_dir: str | None = None
+    w_case: str = "attributes"
+    h_case: str = "locations"
+    w_groups: DataFrame | None = None
+    h_groups: DataFrame | None = None
+    w_types: dict | None = None
+    h_types: dict | None = None
+    important: int = 30
+
+    def but(self, **kw) -> PostOptions:
+        return replace(self, **checked(kw))
+
+
+def checked(values: dict) -> dict:
+    """values, if all names are options."""
+    bad = sorted(set(values) - {f.name for f in fields(PostOptions)})
+    if bad:
+        raise ValueError(f"unsupported options: {', '.join(bad)}")
+    return values
+
+
+def settings(options: PostOptions | dict | None, w_names: DataFrame, h_names: DataFrame, **kw) -> PostOptions:
+    """Options with those stated over them, after a check of the names: each (place, name) once, none missing."""
+    base = options if isinstance(options, PostOptions) else PostOptions(**checked(dict(options or {})))
+    for names, place in ((w_names, "i"), (h_names, "j")):
+        got = names.agg(F.count(F.lit(1)), F.count_distinct(place), F.count_distinct("name"), F.count("name")).first()
+        if len(set(got)) > 1:
+            raise ValueError(f"names by {place}: {got[0]} rows, {got[1]} places, {got[2]} names")
+    return base.but(**kw)
+
+
+def reports(found: DataFrame, ks: list[int], w_names: DataFrame, h_names: DataFrame, cells: DataFrame | None = None, options: PostOptions | dict | None = None, **kw) -> dict[int, Report]:
+    """A report for each k in found; with result_dir the members, clusters and groups of each as CSV folders under it.
+
+    w_groups and h_groups (name, group) sum rows of W or columns of H under the group's name in the clusters and members.
+    """
+    o = settings(options, w_names, h_names, **kw)
+    there = {r["k"] for r in found.select("k").collect()}
+    out = {}
+    for k in [k for k in ks if k in there]:
+        one = report(found, k, w_names, h_names, cells, o.cutoff, o.repeats)
+        w, h = factor_cells(found, k)
+        for side, x, groups in (("W", w.join(w_names, "i").select("name", "k", F.col("w").alias("v")), o.w_groups), ("H", h.join(h_names, "j").select("name", "k", F.col("h").alias("v")), o.h_groups)):
+            if groups is not None:
+                x = over_largest(aggregated(x, groups), ["v"], ["k"])
+                members = signal_members(x, o.cutoff).select(F.lit(side).alias("side"), "k", "place", "name", "share")
+                own = strongest_signal(x).select(F.lit(side).alias("side"), "name", F.char(F.lit(65) + F.col("k")).alias("label"), F.col("k").alias("signal"))
+                one = Report(one.ranking.where(F.col("side") != side).union(members), one.clusters.where(F.col("side") != side).union(own), one.shares, one.fits)
+        out[k] = one
+        if o.result_dir:
+            spark = found.sparkSession
+            for side, case in (("W", o.w_case), ("H", o.h_case)):
+                write_csv(one.ranking.where(F.col("side") == side).orderBy("k", "place"), joined_path(spark, o.result_dir, f"{case}-{k}-members"))
+                clusters = one.clusters.where(F.col("side") == side)
+                write_csv(clusters.orderBy("label", "name"), joined_path(spark, o.result_dir, f"{case}-{k}-clusters"))
+                groups = clusters.groupBy("label").agg(F.concat_ws(";", F.array_sort(F.collect_list("name"))).alias("names"))  # one row a label
+                write_csv(groups.orderBy("label"), joined_path(spark, o.result_dir, f"{case}-{k}-groups"))
+    return out

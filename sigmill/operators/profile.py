@@ -130,3 +130,12 @@ def rectangular(counts: DataFrame, axis: str, order: str) -> DataFrame:
     w = Window.partitionBy(axis).orderBy(order)
     both = (F.col("n") > 0) & (F.coalesce(F.lag("n").over(w), F.lit(0)) > 0)
     return counts.withColumn("_b", both).groupBy(axis).agg(F.bool_or("_b").alias("dense"))
+
+
+def row_profile(df: DataFrame, key: str, cols: list[str], low_count: int = 0) -> DataFrame:
+    """(key, n, missing, low, zeros, negative, constant, boolean) of each row's values; row by row."""
+    values = F.filter(F.array(*[m.value(c) for c in cols]), lambda x: x.isNotNull())
+    d = df.select(key, values.alias("_v")).withColumn("n", F.size("_v"))
+    total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
+    some, low = F.col("n") > 0, F.exists("_v", lambda x: x < 0)
+    return d.select(key, "n", (F.col("n") == 0).alias("missing"), (some & (F.col("n") <= low_count)).alias("low"), (some & (total == 0)).alias("zeros"), low.alias("negative"), (some & (F.array_min("_v") == F.array_max("_v"))).alias("constant"), (some & ~F.exists("_v", lambda x: (x != 0) & (x != 1))).alias("boolean"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import missing as m
-from ..sources.store import bounded
+from ..sources.store import bounded, materialized
 
 
 def largest_at_point(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -153,9 +153,12 @@ def self_crossing(corners: list[tuple[float, float]]) -> bool:
     return any(segments_cross(*edges[i], *edges[j]) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1))
 
 
-def expanded(corners: list[tuple[float, float]], share: float = 0.05) -> list[tuple[float, float]]:
-    """Corners pushed away from their centre."""
+def expanded(corners: list[tuple[float, float]], share: float = 0.05, margin: float | None = None) -> list[tuple[float, float]]:
+    """Corners pushed away from their centre, by a share of their distance to it or by a margin."""
     cx, cy = sum(p[0] for p in corners) / len(corners), sum(p[1] for p in corners) / len(corners)
+    if margin is not None:
+        far = [max(math.hypot(x - cx, y - cy), 1e-300) for x, y in corners]
+        return [(x + margin * (x - cx) / d, y + margin * (y - cy) / d) for (x, y), d in zip(corners, far)]
     return [(cx + (x - cx) * (1 + share), cy + (y - cy) * (1 + share)) for x, y in corners]
 
 
@@ -221,7 +224,7 @@ def tick_values(low: float, high: float, count: int = 5) -> list[float]:
 
 def contour_map(df: DataFrame, x: str, y: str, z: str, resolution: int = 50, neighbours: int | None = None, power: float = 2.0, padding: float = 0.05) -> DataFrame:
     """GeoJSON tiles of z interpolated inside the points' padded hull; 32 neighbours from 2000 points on, unless stated."""
-    points = largest_at_point(df, x, y, z).cache()
+    points = materialized(largest_at_point(df, x, y, z))
     if neighbours is None and points.count() >= 2000:
         neighbours = 32
     corners = [(r["x"], r["y"]) for r in convex_hull(points, x, y).orderBy("place").collect()]
@@ -251,3 +254,54 @@ def near_outline(df: DataFrame, x: str, y: str, key: str, corners: list[tuple[fl
     ranked = df.withColumn("outline_distance", d).orderBy("outline_distance", key).limit(max(most, least))
     w = Window.orderBy("outline_distance", key)
     return ranked.withColumn("_r", F.row_number().over(w)).where((F.col("outline_distance") <= distance) | (F.col("_r") <= least)).drop("_r")
+
+
+def concave_hull(points: list[tuple[float, float]], longest: float = 2.0) -> list[tuple[float, float]]:
+    """Corners, counter-clockwise: the convex hull whose edges over ``longest`` times the median spacing of the points are
+    bent inwards to the point nearest to them, as long as no edges cross. Of few points (thin others first), as it looks
+    at each point for each edge. With fewer than four points, or if edges cross in the end, the convex hull."""
+    pts = sorted(set(map(tuple, points)))
+    ring = hull(pts)
+    if len(pts) < 4 or len(ring) < 3:
+        return ring
+    at = np.array(pts)
+    near = np.array([np.partition(np.hypot(*(at - p).T), 1)[1] for p in at])
+    limit = longest * float(np.median(near))
+    used, i = set(ring), 0
+    while i < len(ring):
+        a, b = ring[i], ring[(i + 1) % len(ring)]
+        side = math.dist(a, b)
+        best = None
+        if side > limit:
+            for p in pts:
+                if p in used:
+                    continue
+                share = ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / side**2
+                if 0 < share < 1:
+                    away = abs(turn(a, b, p)) / side
+                    if away < side and (best is None or (away, p) < best):
+                        best = (away, p)
+        if best is not None and max(math.dist(a, best[1]), math.dist(best[1], b)) < side:
+            p = best[1]
+            others = [(ring[j], ring[(j + 1) % len(ring)]) for j in range(len(ring)) if j != i]
+            if not any(segments_cross(a, p, c, d) for c, d in others if a not in (c, d)) and not any(segments_cross(p, b, c, d) for c, d in others if b not in (c, d)):
+                ring.insert(i + 1, p)
+                used.add(p)
+                continue
+        i += 1
+    return ring
+
+
+def within_reach(grid: DataFrame, points: DataFrame, x: str, y: str, distance: float) -> DataFrame:
+    """The grid's cells (gx, gy) with a point no farther than distance: an equi-join on squares of that side."""
+    square = lambda c: F.floor(F.col(c) / distance)
+    spread = grid.withColumns({"_cx": F.explode(F.sequence(square("gx") - 1, square("gx") + 1)), "_y": square("gy")}).withColumn("_cy", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
+    near = points.select(F.col(x).alias("_px"), F.col(y).alias("_py"), square(x).alias("_cx"), square(y).alias("_cy")).where("_px is not null and _py is not null").distinct()
+    close = F.pow(F.col("gx") - F.col("_px"), 2) + F.pow(F.col("gy") - F.col("_py"), 2) <= distance**2
+    hit = spread.join(near, ["_cx", "_cy"]).where(close).select("i", "j").distinct()
+    return grid.join(hit, ["i", "j"], "left_semi")
+
+
+def valid_points(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """The rows, with their labels, whose place and value are finite."""
+    return df.where(m.finite(x).isNotNull() & m.finite(y).isNotNull() & m.finite(z).isNotNull())

@@ -167,13 +167,16 @@ def rename(df: DataFrame, names: dict[str, str], match: str = "exact") -> DataFr
     return df.toDF(*new)
 
 
-def unfold(cells: DataFrame, axes: list[str], keep: str, value: str = "v") -> DataFrame:
-    """Cells of an N-dimensional array to (row, col, value): keep is the column axis, the others make the row, the first fastest."""
+def unfold(cells: DataFrame, axes: list[str], keep: str, value: str = "v", mask: DataFrame | None = None) -> DataFrame:
+    """Cells of an N-dimensional array to (row, col, value): keep is the column axis, the others make the row, the first fastest.
+    mask (some of the axes): cells at its places are left out; the rows' numbers don't change."""
     rest = [a for a in axes if a != keep]
     sizes = cells.agg(*[(F.max(a) + 1).alias(f"_n_{a}") for a in rest])
     row, step = F.lit(0).cast("long"), F.lit(1).cast("long")
     for a in rest:
         row, step = row + F.col(a) * step, step * F.col(f"_n_{a}")
+    if mask is not None:
+        cells = cells.join(mask.distinct(), [a for a in axes if a in mask.columns], "left_anti")
     return cells.crossJoin(F.broadcast(sizes)).select(row.alias("row"), F.col(keep).alias("col"), F.col(value))
 
 

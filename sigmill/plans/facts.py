@@ -385,3 +385,89 @@ def content_key(spark, sf):
     key = store.content_key(d)
     again, changed = store.content_key(d.repartition(5).orderBy(F.desc("s_acctbal"))), store.content_key(d.withColumn("s_acctbal", F.col("s_acctbal") + (F.col("s_suppkey") == 1).cast("double")))
     return spark.createDataFrame([(key == again, key != changed, len(key))], "same boolean, other boolean, digits int")
+
+
+# Further forms
+
+
+@query("WITH c AS (SELECT user_id % 4 AS a, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS b, dayofmonth(ts) % 3 AS c, round(sum(value), 4) AS v FROM events GROUP BY 1, 2, 3) SELECT CAST(a + c * 4 AS BIGINT) AS \"row\", CAST(b AS INTEGER) AS col, v FROM c WHERE NOT (a = 1 AND c = 2)")
+def flatten_masked(spark, sf):
+    from .catalog import cells3
+
+    mask = spark.createDataFrame([(1, 2)], "a int, c int")
+    return tr.unfold(cells3(spark, sf), ["a", "b", "c"], "b", mask=mask)
+
+
+@query("WITH e AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders) SELECT CAST(i + 1 AS INTEGER) AS bin, CAST(a + CAST(floor(CAST(date_diff('day', a, b) AS DOUBLE) * (2 * i + 1) / 10.0) AS INTEGER) AS DATE) AS centre FROM e, range(0, 5) r(i)")
+def bin_dates(spark, sf):
+    from ..operators import binning
+
+    d = t(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    return binning.bin_centres(d, "o_orderdate", 5).select(F.col("bin").cast("int").alias("bin"), "centre")
+
+
+@query("WITH c AS (SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), s AS (SELECT id, min(m) AS a FROM c WHERE v > 0 GROUP BY 1) SELECT c.id, CAST(date_diff('month', a, m) + 1 AS INTEGER) AS place, round(v, 2) AS v FROM c JOIN s ON c.id = s.id WHERE m >= a AND date_diff('month', a, m) < 12")
+def shifted_record(spark, sf):
+    from ..operators import pivot
+
+    return pivot.shifted_matrix(t(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_totalprice", record=12).select("id", "place", r("v", 2).alias("v"))
+
+
+@query("SELECT l_suppkey % 10 AS k, l_linenumber % 2 AS block, round(sum(l_quantity * l_tax), 4) AS value FROM lineitem GROUP BY 1, 2")
+def decode_blocks(spark, sf):
+    codes = t(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("k"), (F.col("l_linenumber") % 2).alias("block"), F.col("l_quantity").alias("code"), "l_tax")
+    return encode.decode_blocks(codes, "k", "block", "l_tax").select("k", "block", r("value", 4).alias("value"))
+
+
+@query("WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END AS a, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey % 2 AS DOUBLE) END AS b, CASE WHEN c_custkey % 15 > 0 THEN CAST(c_custkey % 2 AS DOUBLE) END AS c FROM customer) SELECT c_custkey, CAST((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS INTEGER) AS n, a IS NULL AND b IS NULL AND c IS NULL AS missing, coalesce(a < 0, false) AS negative, coalesce(least(a, b, c) = greatest(a, b, c), false) AS constant FROM v")
+def row_profile(spark, sf):
+    k = F.col("c_custkey")
+    d = t(spark, sf, "customer").select("c_custkey", F.when(k % 5 > 0, F.col("c_acctbal")).alias("a"), F.when(k % 3 > 0, (F.col("c_nationkey") % 2).cast("double")).alias("b"), F.when(k % 15 > 0, (k % 2).cast("double")).alias("c"))
+    return profile.row_profile(d, "c_custkey", ["a", "b", "c"]).select("c_custkey", "n", "missing", "negative", "constant")
+
+
+@query(f"WITH p AS (SELECT DISTINCT lon, lat FROM {PLACES}), b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM p), g AS (SELECT i, j, x0 + i * (x1 - x0) / 19 AS gx, y0 + j * (y1 - y0) / 19 AS gy FROM b, range(0, 20) a(i), range(0, 20) c(j)) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM g WHERE EXISTS (SELECT 1 FROM p WHERE power(gx - lon, 2) + power(gy - lat, 2) <= 0.16)")
+def tiles_in_reach(spark, sf):
+    d = places(spark, sf)
+    return spatial.within_reach(spatial.grid_points(d, "lon", "lat", 20, 20), d, "lon", "lat", 0.4).select("i", "j")
+
+
+@query("SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, height, CAST(size AS INTEGER) AS size FROM (VALUES (0, 1, 0.0, 2), (2, 3, 0.0, 2), (5, 6, 0.292893, 4), (4, 7, 2.0, 5)) x(a, b, height, size)")
+def complete_linkage(spark, sf):
+    """Five directions: two pairs, 45 degrees apart, and their opposite."""
+    ties = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 3.0]), (4, [-1.0, 0.0])]
+    got = cluster.linkage(spark.createDataFrame(ties, "id int, v array<double>"), "v", "id")
+    return spark.createDataFrame([(a, b, abs(round(h, 6)), n) for a, b, h, n in got], "a int, b int, height double, size int")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE j WHEN 0 THEN w * -80 + (1 - w) * -40 ELSE w * -11 + (1 - w) * -5 END, 2) AS delta FROM (SELECT i, (i % 11) / 10.0 AS w FROM range(0, 22) a(i)), range(0, 2) b(j)")
+def water_mixtures(spark, sf):
+    """Two waters and their mixtures: the model gives the observed deltas back."""
+    from ..operators import kernels as K
+
+    share = (np.arange(22) % 11) / 10
+    y = np.outer(share, [-80.0, -11.0]) + np.outer(1 - share, [-40.0, -5.0])
+    w, d, fit = K.water_deltas(y, 2, seed=3)
+    return spark.createDataFrame([(i, j, float(v)) for i, q in enumerate(w @ d) for j, v in enumerate(q)], "i int, j int, delta double").select("i", "j", r("delta", 2).alias("delta"))
+
+
+@query("SELECT id, CAST(place AS INTEGER) AS place, true AS near FROM (SELECT CAST(i AS INTEGER) AS id, least(20, 24 - 3 * (i % 5)) AS n FROM range(0, 15) a(i)), LATERAL (SELECT unnest(range(1, CAST(n AS BIGINT) + 1)) AS place)")
+def planted_forecast(spark, sf):
+    """Wells of two kinds that began in different months: the later months of the young follow those of the old."""
+    shapes = [[100.0 * 0.8**p + 2 for p in range(24)], [60.0 / (1 + 0.3 * p) for p in range(24)]]
+    rows = [(i, f"20{10 + (m := 3 * (i % 5) + p) // 12}-{m % 12 + 1:02d}-01", (1 + i % 4) * shapes[0][p] * (i % 3 != 1) + (2 + i % 5) * shapes[1][p] * (i % 3 != 0)) for i in range(15) for p in range(min(20, 24 - 3 * (i % 5)))]
+    d = spark.createDataFrame(rows, "well int, month string, gas double").withColumn("month", F.to_date("month"))
+    got = fz.forecast(d, "well", "month", "gas", "2011-08-01", [2], fz.Options(runs=4, max_iter=6000, kernel={"small": 0.0}))
+    return got.select("id", "place", (F.abs(F.col("estimate") - F.col("v")) < 0.05 * F.col("v") + 1).alias("near"))
+
+
+@query("SELECT * FROM (VALUES ('H', 'click', 0), ('H', 'error', 0), ('H', 'view', 0)) x(side, name, signal) WHERE false UNION ALL SELECT side, name, signal FROM (SELECT 'H' AS side, 'c' || j AS name, CAST(0 AS INTEGER) AS signal FROM range(0, 4) a(j) UNION ALL SELECT 'W', 'r' || i, 0 FROM range(0, 3) b(i))")
+def one_signal_report(spark, sf):
+    """One signal, options as a bundle: all names belong to it."""
+    from ..operators import post
+
+    found = spark.createDataFrame([(1, 0.0, 1.0, 0.0, [[1.0], [2.0], [3.0]], [[1.0, 2.0, 3.0, 4.0]], [1.0], 1)], fz.SOLUTION)
+    w_names = spark.createDataFrame([(i, f"r{i}") for i in range(3)], "i int, name string")
+    h_names = spark.createDataFrame([(j, f"c{j}") for j in range(4)], "j int, name string")
+    got = post.reports(found, [1, 2], w_names, h_names, options=post.PostOptions(cutoff=0.4), repeats=1)
+    return got[1].clusters.select("side", "name", "signal")

@@ -112,3 +112,20 @@ def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, sep=separator)
+
+
+def joined_path(spark: SparkSession, path: str, *parts: str) -> str:
+    """path/part/.. after its parent folders were made, in whatever store it's in."""
+    whole = "/".join([path.rstrip("/"), *(p.strip("/") for p in parts)])
+    parent = spark._jvm.org.apache.hadoop.fs.Path(whole).getParent()
+    if parent is not None:
+        parent.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(parent)
+    return whole
+
+
+def load_choice(spark: SparkSession, root: str, case: str, ks: list[int], cutoff: float = 0.5, strict: bool = True) -> tuple[DataFrame, int | None]:
+    """(cached solutions of the ks, chosen k); without any, an empty frame and None."""
+    from ..operators.factorize import chosen_k
+
+    found = load_solutions(spark, root, case, ks)
+    return found, chosen_k(found, cutoff, strict)
