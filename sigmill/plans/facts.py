@@ -69,6 +69,63 @@ def planted_alternating(spark, sf):
     return _signals(spark, fz.sweep(planted_rows(spark), [3], fz.Options(runs=4, method="alternating")))
 
 
+@query(_THREE)
+def planted_sparse(spark, sf):
+    return _signals(spark, fz.sweep(planted_rows(spark), [3], fz.Options(runs=6, method="sparse", max_iter=4000, kernel={"sparsity": 0.01})))
+
+
+@query("SELECT CAST(i AS BIGINT) AS id, CAST(j AS INTEGER) AS j, true AS near FROM range(0, 60) a(i), range(0, 8) b(j)")
+def planted_tall(spark, sf):
+    """The distributed factorization meets the product: every cell within a twentieth of the largest."""
+    w, h, _ = fz.factorize_tall(planted_rows(spark), 3, 40, tol=1e-9)
+    cols = F.array(*[F.aggregate(F.zip_with("w", F.array(*[F.lit(float(v)) for v in h[:, j]]), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x) for j in range(h.shape[1])])
+    got = w.select("id", F.posexplode(cols).alias("j", "e"))
+    x = planted_rows(spark).select("id", F.posexplode("x").alias("j", "v"))
+    return got.join(x, ["id", "j"]).select("id", "j", (F.abs(F.col("e") - F.col("v")) < 1.0).alias("near"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, true AS near FROM range(0, 30) a(i), range(0, 5) b(j)")
+def planted_mixing(spark, sf):
+    """Mixtures of three waters, some of them pure: shares sum to 1 and give the concentrations back."""
+    i = np.arange(30)
+    w = np.stack([i % 4, (i * 3) % 5, (i * 7) % 3], 1) + np.eye(3)[i % 3] * (i < 6)[:, None] * 100.0
+    w = np.where((i < 3)[:, None], np.eye(3)[i % 3], w + 0.1)
+    w = w / w.sum(axis=1, keepdims=True)
+    h = np.array([[10, 1, 0, 5, 2], [0, 8, 3, 1, 9], [4, 0, 12, 2, 1]], float)
+    x = w @ h
+    rows = spark.createDataFrame([(int(q), v) for q, v in enumerate(x.tolist())], "id long, x array<double>")
+    best = fz.sweep(rows, [3], fz.Options(runs=4, method="mixing", kernel={"iterations": 6000})).first()
+    got = np.array(best["w"], float)
+    near = (np.abs(got @ np.array(best["h"], float) - x) < 0.2) & (np.abs(got.sum(axis=1, keepdims=True) - 1) < 1e-6)
+    return spark.createDataFrame([(a, b, bool(near[a, b])) for a in range(30) for b in range(5)], "i int, j int, near boolean")
+
+
+@query("SELECT axis, CAST(k AS INTEGER) AS k, k >= 2 AS exact FROM (VALUES ('a'), ('b')) x(axis), range(1, 3) r(k)")
+def planted_tensor(spark, sf):
+    """An array of two outer products, unfolded along two of its axes: two signals are enough, one isn't."""
+    u = [np.array([5, 1, 3, 2.0]), np.array([1, 4, 0, 2, 6.0]), np.array([2, 1, 3.0])]
+    v = [np.array([1, 6, 0, 3.0]), np.array([5, 0, 3, 1, 1.0]), np.array([1, 4, 1.0])]
+    x = np.einsum("i,j,k->ijk", *u) + np.einsum("i,j,k->ijk", *v)
+    cells = spark.createDataFrame([(*map(int, at), float(q)) for at, q in np.ndenumerate(x) for at in [at]], "a int, b int, c int, v double")
+    got = fz.tensor_sweep(cells, ["a", "b", "c"], [1, 2], fz.Options(runs=4, max_iter=6000, kernel={"small": 0.0}), ["a", "b"])
+    return got.select("axis", "k", (F.col("fit") < 1.0).alias("exact"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, true AS ordered, true AS around FROM range(0, 60) a(i), range(0, 8) b(j)")
+def planted_uncertainty(spark, sf):
+    """Reruns on resampled data: ranges hold their order and lie near the planted product."""
+    got = fz.uncertainty(planted_rows(spark), 3, 5, fz.Options(max_iter=3000))
+    x = planted_rows(spark).select(F.col("id").cast("int").alias("i"), F.posexplode("x").alias("j", "v"))
+    return got.join(x, ["i", "j"]).select("i", "j", ((F.col("least") <= F.col("largest")) & (F.col("variance") >= 0)).alias("ordered"), ((F.col("largest") > F.col("v") - 8) & (F.col("least") < F.col("v") + 8)).alias("around"))
+
+
+@query("SELECT CAST(w AS INTEGER) AS \"window\", true AS window_exact, true AS all_exact FROM (VALUES (24), (48)) x(w)")
+def planted_progress(spark, sf):
+    """Signals learned on the first rows describe all rows."""
+    got = fz.progressive(planted_rows(spark), [24, 48], [3], fz.Options(runs=4, max_iter=6000, kernel={"small": 0.0}))
+    return got.select("window", (F.col("fit_window") < 1.0).alias("window_exact"), (F.col("fit_all") < 3.0).alias("all_exact"))
+
+
 @query("SELECT CAST(i AS BIGINT) AS id, CAST(j AS INTEGER) AS j, true AS near FROM range(0, 60) a(i), range(0, 4) b(j)")
 def planted_mapping(spark, sf):
     """Y = X H is learned from even rows and predicts all: within a thousandth of the truth."""
@@ -432,7 +489,7 @@ def tiles_in_reach(spark, sf):
     return spatial.within_reach(spatial.grid_points(d, "lon", "lat", 20, 20), d, "lon", "lat", 0.4).select("i", "j")
 
 
-@query("SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, height, CAST(size AS INTEGER) AS size FROM (VALUES (0, 1, 0.0, 2), (2, 3, 0.0, 2), (5, 6, 0.292893, 4), (4, 7, 2.0, 5)) x(a, b, height, size)")
+@query("SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(height AS DOUBLE) AS height, CAST(size AS INTEGER) AS size FROM (VALUES (0, 1, 0.0, 2), (2, 3, 0.0, 2), (5, 6, 0.292893, 4), (4, 7, 2.0, 5)) x(a, b, height, size)")
 def complete_linkage(spark, sf):
     """Five directions: two pairs, 45 degrees apart, and their opposite."""
     ties = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 3.0]), (4, [-1.0, 0.0])]
