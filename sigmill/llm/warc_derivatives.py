@@ -9,7 +9,8 @@ record's block is the page's visible text in UTF-8.
 
 Text: comments, scripts, styles and the head are dropped, block-level tags break lines, other tags vanish,
 character references are resolved, white space is collapsed, empty lines go. A head without an end tag ends at the
-first text or element that can't be in a head; a script or style without one goes on to the page's end.
+first text or element that can't be in a head; a comment, script or style without one goes on to the page's end. Time is
+linear in the page, whatever is left open.
 
 Record ids are made from the source's id and the kind, so a task that runs again makes the same records. A record
 is row-local: no shuffle, memory follows the longest page. A null html is an empty page, a null url becomes
@@ -33,20 +34,54 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import small_batches, table
 
 DATE = "2024-01-01T00:00:00Z"
-CUT = re.compile(
-    r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
-    r"|<head\b[^>]*>(?:(?!<body\b).)*?</head\s*>"
-    r"|<head\b[^>]*>(?:\s+|<!--.*?-->|<(title|script|style|noscript|noframes|template)\b[^>]*>.*?</\2\s*>|<(?:base|basefont|bgsound|link|meta)\b[^>]*>)*"
-    r"|<(?:script|style)\b[^>]*>.*\Z",
+HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
+END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "head")}
+BODY = re.compile(r"<body\b", re.I)
+#: A head as far as only what can be in one follows.
+HEAD = re.compile(
+    r"<head\b[^>]*>(?:\s+|<!--.*?-->|<(title|script|style|noscript|noframes|template)\b[^>]*>.*?</\1\s*>|<(?:base|basefont|bgsound|link|meta)\b[^>]*>)*",
     re.S | re.I,
 )
+#: The rest of a tag: quoted values may hold '>'. Where quotes don't pair up before the next '<', the first '>' ends it.
+REST = r"""(?:(?:"[^"<]*"|'[^'<]*'|[^>"'<])*+>|[^>]*>)"""
 #: Elements that break lines.
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b" + REST, re.I)
+TAG = re.compile(r"<[/!?a-zA-Z]" + REST)
+
+
+def shown(page: str) -> str:
+    """The page with a blank for each comment, script, style, noscript and template element, and for the first head. One pass:
+    an element whose end is missing is looked for once."""
+    out, at, pos, plain = [], 0, 0, set()
+    while (m := HIDDEN.search(page, pos)) is not None:
+        name, end = (m[1] or "").lower(), -1
+        if not name:
+            end = page.find("-->", m.end()) + 3
+            end = end if end > 2 else len(page)
+        elif name not in plain and (start := page.find(">", m.end()) + 1):
+            close = END[name].search(page, start)
+            if name == "head":
+                plain.add(name)
+                body = BODY.search(page, start, close.start()) if close else None
+                end = close.end() if close and not body else HEAD.match(page, m.start()).end()
+            elif close:
+                end = close.end()
+            elif name in ("script", "style"):
+                end = len(page)
+            else:
+                plain.add(name)
+        if end < 0:  # a tag as others
+            pos = m.end()
+            continue
+        out += [page[at : m.start()], " "]
+        at = pos = end
+    return "".join([*out, page[at:]])
 
 
 def text_of(page: str) -> str:
-    s = TAG.sub("", BREAK.sub("\n", CUT.sub(" ", page)))
+    s = shown(page)
+    end = s.rfind(">") + 1  # no tag ends behind it, so none is looked for there
+    s = TAG.sub("", BREAK.sub("\n", s[:end])) + s[end:]
     lines = (" ".join(x.split()) for x in entities.unescape(s).split("\n"))
     return "\n".join(x for x in lines if x)
 
