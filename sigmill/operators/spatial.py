@@ -56,6 +56,7 @@ def nearest_distances(points: DataFrame, x: str, y: str, key: str, cells: int =
         spread = left.select("k", "x", "y", "size", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach)).alias("cx"), "cy").withColumn("cy", F.explode(F.sequence(F.col("cy") - reach, F.col("cy") + reach)))
         other = at.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
         near = spread.join(other, ["cx", "cy"]).where("k <> k2").groupBy("k").agg(F.min(F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))).alias("d"), F.max("size").alias("size"))
+        near = materialized(near)  # used three times, and by every wider round
         sure = near.where(F.col("d") <= F.col("size") * reach).select("k", "d")  # no nearer point can lie outside the cells
         found = sure if found is None else found.union(sure)
         left = left.join(sure, "k", "left_anti")
