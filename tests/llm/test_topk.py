@@ -64,3 +64,22 @@ def test_repeated_ids_and_clashing_columns(spark, tmp_path):
     got = op10_histogram_topk(spark, str(tmp_path)).collect()
     assert len(got) == 15 and sorted(r["rank"] for r in got if r.query_id == 0) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert all(r.vec_id != r.query_id for r in got)
+
+
+def test_refined_ranges_count_no_score_twice(spark):
+    """Near copies of few vectors: the range of the kth value is divided again, in parts that don't fit it evenly."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20, 64))
+    near = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 64)) * 0.002
+    rows = [(i, v.tolist()) for i, v in enumerate(near)]
+    v = quantized(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    want = brute(rows, lambda i: i % 50 == 0)
+    for bins in (64, 10):
+        assert sorted(map(tuple, histogram_topk(v.where("vec_id % 50 = 0"), v, bins=bins).collect())) == want
+
+
+def test_empty_vectors_meet_each_other(spark):
+    rows = [(i, []) for i in range(0, 30, 2)] + [(50, [1.0]), (51, [2.0]), (53, None)]
+    v = quantized(spark.createDataFrame(rows, SCHEMA))
+    got = sorted(map(tuple, histogram_topk(v.where("vec_id % 50 = 0"), v).collect()))
+    assert got == [(0, r, 2 * r, 0) for r in range(1, 6)] + [(50, 1, 51, 256 * 512)]
